@@ -1 +1,333 @@
-"""Pending."""
+"""Autoregressive forecasts, folds and back-tests on the given tables."""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelcast.catalog.inputs import (
+    BAND,
+    CUSTOMER_SPANS,
+    FULL,
+    MEASURES,
+    PANEL,
+    band,
+    customer_spans,
+    full_panel,
+    iso,
+    measures,
+    panel,
+    r,
+    rounded,
+)
+from panelcast.catalog.registry import query
+from panelcast.operators.autoreg import (
+    dickey_fuller,
+    fit,
+    fit_first_order,
+    fitted_first_order,
+    forecast_drivers,
+    forecast_first_order,
+    refit_each_day,
+    seasonal_naive,
+    select_lags,
+)
+from panelcast.operators.clean import before
+from panelcast.operators.folds import (
+    backtest_first_order,
+    chronological_split,
+    folds_every,
+    folds_last,
+    folds_or_split,
+)
+from panelcast.operators.resample import day_span
+from panelcast.operators.scores import average_over
+from panelcast.plans.features import FeatureSpec
+from panelcast.plans.forecasting import future_features, future_rows
+
+DAY = "strftime(day, '%Y-%m-%d') AS day"
+KEYS = ["series_id"]
+W = "WINDOW w AS (PARTITION BY series_id ORDER BY day)"
+CUTOFF = date(2001, 1, 1)
+
+PAIRS = f"""{FULL}, pairs AS (SELECT series_id, day, y, lag(y) OVER w AS x FROM full_panel {W})"""
+AR1 = f"""{PAIRS}, model AS (
+  SELECT series_id, CAST(regr_count(y, x) AS BIGINT) AS n, regr_slope(y, x) AS phi, regr_intercept(y, x) AS intercept
+  FROM pairs GROUP BY 1)"""
+AR1_TRAIN = f"""{PAIRS}, model AS (
+  SELECT series_id, regr_slope(y, x) AS phi, regr_intercept(y, x) AS intercept
+  FROM pairs WHERE day < DATE '2001-01-01' GROUP BY 1)"""
+LAST = "last AS (SELECT series_id, max(day) AS last_day, arg_max(y, day) AS y FROM {0} WHERE y IS NOT NULL GROUP BY 1)"
+STEPS = "steps AS (SELECT CAST(unnest(range(1, 8)) AS INTEGER) AS step)"
+PATH = """SELECT series_id, step, strftime(last_day + step, '%Y-%m-%d') AS day,
+  round(intercept / (1 - phi) + power(phi, step) * (y - intercept / (1 - phi)), 4) AS forecast
+  FROM model JOIN last USING (series_id), steps"""
+
+
+@query("ar1_fit", f"WITH {AR1} SELECT series_id, n, round(phi, 6) AS phi, round(intercept, 4) AS intercept FROM model")
+def ar1_fit(spark: SparkSession, sf: str) -> DataFrame:
+    model = fit_first_order(full_panel(spark, sf), KEYS, "y")
+    return model.withColumns({"phi": r("phi", 6), "intercept": r("intercept")})
+
+
+@query("ar1_forecast", f"WITH {AR1}, {LAST.format('full_panel')}, {STEPS} {PATH}")
+def ar1_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    rows = full_panel(spark, sf)
+    path = forecast_first_order(rows, fit_first_order(rows, KEYS, "y"), KEYS, "y", 7)
+    return path.withColumns({"day": iso("day"), "forecast": r("forecast")})
+
+
+@query("ar1_update", f"WITH {AR1_TRAIN}, {LAST.format('full_panel')}, {STEPS} {PATH}")
+def ar1_update(spark: SparkSession, sf: str) -> DataFrame:
+    rows = full_panel(spark, sf)
+    model = fit_first_order(before(rows, F.lit(CUTOFF)), KEYS, "y")
+    path = forecast_first_order(rows, model, KEYS, "y", 7)
+    return path.withColumns({"day": iso("day"), "forecast": r("forecast")})
+
+
+@query(
+    "ar1_insample",
+    f"""WITH {AR1} SELECT series_id, {DAY}, y, round(intercept + phi * x, 4) AS fitted
+    FROM pairs JOIN model USING (series_id)""",
+)
+def ar1_insample(spark: SparkSession, sf: str) -> DataFrame:
+    rows = full_panel(spark, sf)
+    fitted = fitted_first_order(rows, fit_first_order(rows, KEYS, "y"), KEYS, "y")
+    return fitted.select("series_id", iso("day").alias("day"), "y", r("fitted").alias("fitted"))
+
+
+@query(
+    "dickey_fuller_t",
+    f"""WITH {PAIRS}, s AS (
+      SELECT series_id, CAST(regr_count(y - x, x) AS BIGINT) AS n, regr_slope(y - x, x) AS slope, regr_sxx(y - x, x) AS sxx,
+        regr_syy(y - x, x) AS syy, regr_sxy(y - x, x) AS sxy FROM pairs GROUP BY 1)
+    SELECT series_id, n, round(slope, 6) AS slope, round(slope / sqrt((syy - slope * sxy) / (n - 2) / sxx), 6) AS t_value
+    FROM s""",
+)
+def dickey_fuller_t(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(dickey_fuller(full_panel(spark, sf), KEYS, "y"), ["slope", "t_value"], 6)
+
+
+TWO = """sums AS (
+  SELECT series_id, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, covar_pop(a, a) AS saa, covar_pop(b, b) AS sbb,
+    covar_pop(a, b) AS sab, covar_pop(a, y) AS say, covar_pop(b, y) AS sby, covar_pop(y, y) AS syy
+  FROM design WHERE y IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL GROUP BY 1),
+betas AS (
+  SELECT *, (sbb * say - sab * sby) / (saa * sbb - sab * sab) AS ba, (saa * sby - sab * say) / (saa * sbb - sab * sab) AS bb
+  FROM sums)
+SELECT series_id, n, round(my - ba * ma - bb * mb, 4) AS intercept, round(ba, 6) AS first, round(bb, 6) AS second,
+  round(n * (syy - ba * say - bb * sby), 2) AS rss FROM betas"""
+
+
+def two_terms(model: DataFrame) -> DataFrame:
+    c = F.col("coefficients")
+    return model.select(
+        "series_id",
+        "n",
+        r(c[0], 4).alias("intercept"),
+        r(c[1], 6).alias("first"),
+        r(c[2], 6).alias("second"),
+        r("rss", 2).alias("rss"),
+    )
+
+
+@query(
+    "ar_seasonal_fit",
+    f"WITH {FULL}, design AS (SELECT series_id, y, lag(y, 1) OVER w AS a, lag(y, 7) OVER w AS b FROM full_panel {W}), {TWO}",
+)
+def ar_seasonal_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return two_terms(fit(full_panel(spark, sf), KEYS, "y", [1, 7]))
+
+
+@query(
+    "arx_fit",
+    f"""WITH {MEASURES}, design AS (
+      SELECT series_id, temperature AS y, lag(temperature) OVER w AS a, humidity AS b FROM measures {W}), {TWO}""",
+)
+def arx_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return two_terms(fit(measures(spark, sf), KEYS, "temperature", [1], ["humidity"]))
+
+
+@query("ar_select")
+def ar_select(spark: SparkSession, sf: str) -> DataFrame:
+    best = select_lags(full_panel(spark, sf), KEYS, "y")
+    return best.select("series_id", "n", F.concat_ws(",", "lags").alias("lags"), r("rss", 2).alias("rss"), r("aic").alias("aic"))
+
+
+@query("exog_forecast")
+def exog_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    columns = ["humidity", "wind", "cloud"]
+    ahead = forecast_drivers(measures(spark, sf), KEYS, columns, 7)
+    return rounded(ahead.withColumn("day", iso("day")), columns)
+
+
+@query(
+    "seasonal_naive",
+    f"WITH {FULL} SELECT series_id, {DAY}, y, coalesce(lag(y, 7) OVER w, lag(y, 1) OVER w) AS naive FROM full_panel {W}",
+)
+def naive_by_week(spark: SparkSession, sf: str) -> DataFrame:
+    rows = seasonal_naive(full_panel(spark, sf), KEYS, "y")
+    return rows.select("series_id", iso("day").alias("day"), "y", "naive")
+
+
+def dates(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: iso(c) for c in ("train_start", "train_end", "test_start", "test_end")})
+
+
+FOLD_DATES = """SELECT series_id, fold, strftime(first_day, '%Y-%m-%d') AS train_start,
+  strftime(first_day + ts - 1, '%Y-%m-%d') AS train_end, strftime(first_day + ts, '%Y-%m-%d') AS test_start,
+  strftime(first_day + te - 1, '%Y-%m-%d') AS test_end FROM placed"""
+TOTALS = f"{CUSTOMER_SPANS}, totals AS (SELECT *, CAST(date_diff('day', first_day, last_day) + 1 AS INTEGER) AS total FROM spans)"
+
+
+@query(
+    "folds_last_n",
+    f"""WITH {TOTALS}, numbers AS (SELECT CAST(unnest(range(0, 10)) AS INTEGER) AS i),
+    placed AS (
+      SELECT series_id, first_day, i + 1 AS fold, greatest(365, total - 300) + i * 30 AS ts,
+        least(greatest(365, total - 300) + i * 30 + 30, total) AS te FROM totals, numbers)
+    {FOLD_DATES} WHERE te > ts""",
+)
+def folds_last_n(spark: SparkSession, sf: str) -> DataFrame:
+    return dates(folds_last(customer_spans(spark, sf), KEYS))
+
+
+@query(
+    "folds_all",
+    f"""WITH {TOTALS}, numbers AS (SELECT CAST(unnest(range(0, 200)) AS INTEGER) AS i),
+    placed AS (
+      SELECT series_id, first_day, i + 1 AS fold, 365 + i * 60 AS ts, 365 + i * 60 + 60 AS te, total FROM totals, numbers)
+    {FOLD_DATES} WHERE te <= total""",
+)
+def folds_all(spark: SparkSession, sf: str) -> DataFrame:
+    return dates(folds_every(customer_spans(spark, sf), KEYS))
+
+
+@query(
+    "folds_or_split",
+    f"""WITH {TOTALS}, numbers AS (SELECT CAST(unnest(range(0, 10)) AS INTEGER) AS i),
+    sized AS (SELECT *, least(10, (total - 730) // 30) AS many, CAST(floor(total * CAST(0.8 AS DOUBLE)) AS INTEGER) AS cut FROM totals),
+    placed AS (
+      SELECT series_id, first_day, i + 1 AS fold, total - (many - i) * 30 AS ts, total - (many - i) * 30 + 30 AS te
+      FROM sized, numbers WHERE total >= 760 AND i < many
+      UNION ALL SELECT series_id, first_day, 1, cut, total FROM sized WHERE total < 760 AND cut > 0 AND cut < total)
+    {FOLD_DATES}""",
+)
+def folds_or_single_split(spark: SparkSession, sf: str) -> DataFrame:
+    return dates(folds_or_split(customer_spans(spark, sf), KEYS))
+
+
+@query(
+    "split_80_20",
+    f"""WITH {PANEL}, placed AS (
+      SELECT series_id, day, y, row_number() OVER (PARTITION BY series_id ORDER BY day) AS rn,
+        count(*) OVER (PARTITION BY series_id) AS n FROM panel)
+    SELECT series_id, {DAY}, y, CASE WHEN rn <= floor(n * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'test' END AS part FROM placed""",
+)
+def split_80_20(spark: SparkSession, sf: str) -> DataFrame:
+    return chronological_split(panel(spark, sf).select("series_id", "day", "y"), KEYS).withColumn("day", iso("day"))
+
+
+REFIT = """fits AS (
+  SELECT series_id, day, y, x, regr_count(y, x) OVER e AS n, regr_slope(y, x) OVER e AS phi, regr_intercept(y, x) OVER e AS c
+  FROM pairs WINDOW e AS (PARTITION BY series_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@query(
+    "backtest_refit",
+    f"""WITH {PAIRS}, {REFIT} SELECT series_id, {DAY}, y,
+    CASE WHEN n >= 30 THEN round(c + phi * x, 4) END AS forecast FROM fits""",
+)
+def backtest_refit(spark: SparkSession, sf: str) -> DataFrame:
+    rows = refit_each_day(full_panel(spark, sf), KEYS, "y")
+    return rows.select("series_id", iso("day").alias("day"), "y", r("forecast").alias("forecast"))
+
+
+DIRECT = f"""{PAIRS}, totals AS (
+  SELECT series_id, first_day, CAST(date_diff('day', first_day, last_day) + 1 AS INTEGER) AS total FROM spans),
+numbers AS (SELECT CAST(unnest(range(0, 10)) AS INTEGER) AS i),
+folds AS (
+  SELECT series_id, i + 1 AS fold, first_day + greatest(365, total - 300) + i * 30 AS test_start,
+    first_day + least(greatest(365, total - 300) + i * 30 + 30, total) - 1 AS test_end
+  FROM totals, numbers WHERE greatest(365, total - 300) + i * 30 < total),
+model AS (
+  SELECT f.series_id, f.fold, regr_slope(p.y, p.x) AS phi, regr_intercept(p.y, p.x) AS c,
+    arg_max(p.y, p.day) FILTER (WHERE p.y IS NOT NULL) AS last_y, max(p.day) FILTER (WHERE p.y IS NOT NULL) AS last_day
+  FROM folds f JOIN pairs p ON p.series_id = f.series_id AND p.day < f.test_start GROUP BY 1, 2),
+direct AS (
+  SELECT p.series_id, f.fold, p.day, p.y,
+    c / (1 - phi) + power(phi, date_diff('day', last_day, p.day)) * (last_y - c / (1 - phi)) AS forecast
+  FROM folds f JOIN model m ON m.series_id = f.series_id AND m.fold = f.fold
+  JOIN pairs p ON p.series_id = f.series_id AND p.day BETWEEN f.test_start AND f.test_end)"""
+
+
+def direct(spark: SparkSession, sf: str) -> DataFrame:
+    rows = full_panel(spark, sf).select("series_id", "day", "y")
+    folds = folds_last(day_span(rows, KEYS), KEYS)
+    return backtest_first_order(rows, folds, KEYS, "y").drop("_lag_1")
+
+
+@query("backtest_direct", f"WITH {DIRECT} SELECT series_id, fold, {DAY}, y, round(forecast, 4) AS forecast FROM direct")
+def backtest_direct(spark: SparkSession, sf: str) -> DataFrame:
+    return direct(spark, sf).withColumns({"day": iso("day"), "forecast": r("forecast")})
+
+
+@query(
+    "backtest_summary",
+    f"""WITH {DIRECT}, per_fold AS (
+      SELECT series_id, fold, avg(abs(forecast - y)) AS mae,
+        avg(CASE WHEN {BAND.format('y')} = {BAND.format('forecast')} THEN 1.0 ELSE 0.0 END) FILTER (WHERE y IS NOT NULL) AS accuracy
+      FROM direct GROUP BY 1, 2)
+    SELECT series_id, count(*) AS sessions, round(avg(mae), 4) AS mae, round(avg(accuracy), 6) AS accuracy
+    FROM per_fold GROUP BY 1""",
+)
+def backtest_summary(spark: SparkSession, sf: str) -> DataFrame:
+    tested = direct(spark, sf)
+    hit = F.when(band(F.col("y")) == band(F.col("forecast")), 1.0).when(F.col("y").isNotNull(), 0.0)
+    per_fold = tested.groupBy("series_id", "fold").agg(
+        F.avg(F.abs(F.col("forecast") - F.col("y"))).alias("mae"), F.avg(hit).alias("accuracy")
+    )
+    means = average_over(per_fold, ["mae", "accuracy"], KEYS)
+    return means.withColumns({"mae": r("mae"), "accuracy": r("accuracy", 6)})
+
+
+@query(
+    "next_day_features",
+    f"""WITH {AR1}, {LAST.format('full_panel')},
+    profile AS (
+      SELECT series_id, avg(y_max) AS y_max, avg(n) AS n FROM full_panel f JOIN spans USING (series_id)
+      WHERE day >= last_day - 30 GROUP BY 1),
+    future AS (
+      SELECT l.series_id, l.last_day + 1 AS day,
+        m.intercept / (1 - phi) + phi * (l.y - m.intercept / (1 - phi)) AS y, p.y_max, p.n, 1 AS step
+      FROM model m JOIN last l USING (series_id) JOIN profile p USING (series_id)),
+    joined AS (
+      SELECT series_id, day, y, y_max, n, 0 AS step FROM full_panel UNION ALL SELECT * FROM future),
+    made AS (
+      SELECT *, lag(y, 1) OVER w AS y_lag_1, lag(y_max, 7) OVER w AS y_max_lag_7, y - lag(y, 1) OVER w AS y_diff_1d,
+        avg(y) OVER (PARTITION BY series_id ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS y_rolling_mean_3d
+      FROM joined {W})
+    SELECT series_id, {DAY}, CAST(month(day) AS INTEGER) AS month, CAST(isodow(day) - 1 AS INTEGER) AS day_of_week,
+      round(sin(2 * pi() * month(day) / 12), 6) + 0.0 AS month_sin, round(y, 4) AS y, round(y_max, 4) AS y_max,
+      round(y_lag_1, 4) AS y_lag_1, round(y_max_lag_7, 4) AS y_max_lag_7, round(y_diff_1d, 4) + 0.0 AS y_diff_1d,
+      round(y_rolling_mean_3d, 4) AS y_rolling_mean_3d, round(y * y_max, 2) AS y_x_y_max
+    FROM made WHERE step = 1""",
+)
+def next_day_features(spark: SparkSession, sf: str) -> DataFrame:
+    rows = full_panel(spark, sf)
+    spec = FeatureSpec(KEYS, "y", ["y", "y_max", "n"], pairs={"y_x_y_max": ("y", "y_max")})
+    means = forecast_first_order(rows, fit_first_order(rows, KEYS, "y"), KEYS, "y", 1)
+    future = future_rows(rows, means, spec, 1, profile_days=30)
+    made = future_features(rows, future, spec)
+    values = ["y", "y_max", "y_lag_1", "y_max_lag_7", "y_diff_1d", "y_rolling_mean_3d"]
+    return made.select(
+        "series_id",
+        iso("day").alias("day"),
+        "month",
+        "day_of_week",
+        r("month_sin", 6).alias("month_sin"),
+        *[r(c).alias(c) for c in values],
+        r("y_x_y_max", 2).alias("y_x_y_max"),
+    )

@@ -231,13 +231,13 @@ def destination_of_customer(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "interactions",
-    f"""WITH {MEASURES} SELECT series_id, {DAY}, round(temperature * humidity, 4) AS temp_x_humidity,
-    round(wind * cloud, 4) AS wind_x_cloud FROM measures""",
+    f"""WITH {MEASURES} SELECT series_id, {DAY}, round(temperature * humidity, 8) AS temp_x_humidity,
+    round(wind * cloud, 8) AS wind_x_cloud FROM measures""",
 )
 def interactions_of_day(spark: SparkSession, sf: str) -> DataFrame:
     pairs = {"temp_x_humidity": ("temperature", "humidity"), "wind_x_cloud": ("wind", "cloud")}
     rows = measures(spark, sf).withColumns(interactions(pairs))
-    return rounded(rows.select("series_id", iso("day").alias("day"), *pairs), list(pairs))
+    return rounded(rows.select("series_id", iso("day").alias("day"), *pairs), list(pairs), 8)
 
 
 @query(
@@ -245,16 +245,17 @@ def interactions_of_day(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {MEASURES}, gaps AS (
       SELECT series_id, day, temperature, CASE WHEN humidity >= 30 THEN wind END AS wind FROM measures),
     filled AS (
-      SELECT series_id, day, temperature, coalesce(wind, avg(wind) OVER (PARTITION BY series_id)) AS wind FROM gaps)
-    SELECT series_id, {DAY}, round(temperature, 4) AS temperature, round(wind, 4) AS wind,
-      round(temperature * temperature, 4) AS temperature_x_temperature,
-      round(temperature * wind, 4) AS temperature_x_wind, round(wind * wind, 4) AS wind_x_wind FROM filled""",
+      SELECT series_id, day, temperature, coalesce(wind, round(avg(wind) OVER (PARTITION BY series_id), 4)) AS wind FROM gaps)
+    SELECT series_id, {DAY}, round(temperature, 8) AS temperature, round(wind, 8) AS wind,
+      round(temperature * temperature, 8) AS temperature_x_temperature,
+      round(temperature * wind, 8) AS temperature_x_wind, round(wind * wind, 8) AS wind_x_wind FROM filled""",
 )
 def poly_degree2(spark: SparkSession, sf: str) -> DataFrame:
     rows = measures(spark, sf).withColumn("wind", F.when(F.col("humidity") >= 30, F.col("wind")))
     rows = fill_mean(rows.select("series_id", "day", "temperature", "wind"), ["wind"], ["series_id"])
+    rows = rounded(rows, ["wind"])
     terms = polynomial(["temperature", "wind"])
-    return rows.select("series_id", iso("day").alias("day"), *[r(e).alias(n) for n, e in terms.items()])
+    return rows.select("series_id", iso("day").alias("day"), *[r(e, 8).alias(n) for n, e in terms.items()])
 
 
 @query(

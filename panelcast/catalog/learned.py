@@ -1 +1,239 @@
-"""Pending."""
+"""Scaling, clusters, forests and the full pipelines on the given tables."""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelcast.catalog.inputs import MEASURES, iso, measures, r, rounded, table
+from panelcast.catalog.registry import query
+from panelcast.operators.autoreg import select_lags
+from panelcast.operators.cluster import choose_k, fit_labels, nearest_centre, score_candidates, silhouette
+from panelcast.operators.folds import chronological_split
+from panelcast.operators.forests import apply_model, class_weights, fit_classifier, fit_regressor
+from panelcast.operators.resample import fill_gaps
+from panelcast.operators.scaling import Scaler, fit_scaler
+from panelcast.plans.evaluation import backtest_models, evaluate_range, save_evaluation
+from panelcast.plans.features import FeatureSpec, materialise
+from panelcast.plans.forecasting import forecast_days
+from panelcast.plans.training import (
+    Bundle,
+    TrainSpec,
+    fit_models,
+    train_bundle,
+    train_if_missing,
+    training_rows,
+    with_high_low,
+)
+from panelcast.session import fresh_path
+
+KEYS = ["series_id"]
+POINT = ["temperature", "humidity", "wind", "cloud"]
+LABEL_FEATURES = [*POINT, "rain"]
+FEATURES = FeatureSpec(
+    KEYS,
+    "temperature",
+    LABEL_FEATURES,
+    dew=("temperature", "humidity"),
+    pairs={"temp_x_humidity": ("temperature", "humidity"), "wind_x_cloud": ("wind", "cloud")},
+    poly=["temperature", "wind"],
+)
+TRAIN = TrainSpec(LABEL_FEATURES, "temperature_max", "temperature_min", "cloud", k=4)
+CUTOFF = date(2000, 7, 1)
+
+
+def daily_measures(spark: SparkSession, sf: str) -> DataFrame:
+    return fill_gaps(measures(spark, sf), KEYS)
+
+
+def feature_rows(spark: SparkSession, sf: str) -> DataFrame:
+    daily = daily_measures(spark, sf)
+    return training_rows(spark, daily, select_lags(daily, KEYS, FEATURES.mean), FEATURES, TRAIN)
+
+
+SCALED = ", ".join(f"round(({c} - m_{c}) / d_{c}, 6) + 0.0 AS {c}" for c in POINT)
+FITTED = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS d_{c}" for c in POINT)
+
+
+@query(
+    "standardize",
+    f"""WITH {MEASURES}, fitted AS (SELECT {FITTED} FROM measures WHERE day < DATE '2000-07-01')
+    SELECT series_id, strftime(day, '%Y-%m-%d') AS day, {SCALED} FROM measures, fitted""",
+)
+def standardize(spark: SparkSession, sf: str) -> DataFrame:
+    rows = measures(spark, sf)
+    scaler = fit_scaler(rows.where(F.col("day") < F.lit(CUTOFF)), POINT)
+    return rounded(scaler.apply(rows).select("series_id", iso("day").alias("day"), *POINT), POINT, 6)
+
+
+ITEM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(
+    "standardize_apply",
+    f"""WITH fitted AS (
+      SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS d_{c}' for c in ITEM)} FROM lineitem
+      WHERE l_shipdate < TIMESTAMP '2000-07-01')
+    SELECT l_orderkey, l_linenumber, {', '.join(f'round(({c} - m_{c}) / d_{c}, 6) + 0.0 AS {c}' for c in ITEM)}
+    FROM lineitem, fitted""",
+)
+def standardize_apply(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem")
+    fitted = fit_scaler(rows.where(F.col("l_shipdate") < F.lit(CUTOFF).cast("timestamp_ntz")), ITEM)
+    saved = materialise(spark, fitted.to_table(spark), "scaler")
+    scaler = Scaler.from_table(saved, list(reversed(ITEM)))
+    return rounded(scaler.apply(rows).select("l_orderkey", "l_linenumber", *ITEM), ITEM, 6)
+
+
+CENTRES = """centres AS (
+  SELECT series_id, row_number() OVER (ORDER BY series_id) - 1 AS label, round(avg(temperature), 6) AS c1,
+    round(avg(humidity), 6) AS c2, round(avg(wind), 6) AS c3, round(avg(cloud), 6) AS c4 FROM measures GROUP BY 1)"""
+NEAREST = f"""{MEASURES}, {CENTRES}, distances AS (
+  SELECT m.*, c.label, (temperature - c1) * (temperature - c1) + (humidity - c2) * (humidity - c2)
+    + (wind - c3) * (wind - c3) + (cloud - c4) * (cloud - c4) AS distance
+  FROM measures m, centres c),
+assigned AS (
+  SELECT *, row_number() OVER (PARTITION BY series_id, day ORDER BY distance, label) AS rn FROM distances)"""
+
+
+def stored_centres(rows: DataFrame) -> list[tuple[int, list[float]]]:
+    """One centre per series: the mean of its days."""
+    means = rows.groupBy("series_id").agg(*[F.round(F.avg(c), 6).alias(c) for c in POINT]).orderBy("series_id").collect()
+    return [(i, [m[c] for c in POINT]) for i, m in enumerate(means)]
+
+
+@query(
+    "kmeans_assign",
+    f"WITH {NEAREST} SELECT series_id, strftime(day, '%Y-%m-%d') AS day, CAST(label AS INTEGER) AS label FROM assigned WHERE rn = 1",
+)
+def kmeans_assign(spark: SparkSession, sf: str) -> DataFrame:
+    rows = measures(spark, sf)
+    label = nearest_centre(POINT, stored_centres(rows))
+    return rows.select("series_id", iso("day").alias("day"), label.alias("label"))
+
+
+NORM = " + ".join(f"{c} * {c}" for c in POINT)
+DOT = " + ".join(f"{c} * s_{c}" for c in POINT)
+
+
+@query(
+    "silhouette",
+    f"""WITH {NEAREST}, points AS (SELECT series_id, day, label, {', '.join(POINT)} FROM assigned WHERE rn = 1),
+    stats AS (
+      SELECT label AS cluster, count(*) AS n, sum({NORM}) AS squares, {', '.join(f'sum({c}) AS s_{c}' for c in POINT)}
+      FROM points GROUP BY 1),
+    means AS (
+      SELECT series_id, day, label, cluster, n, {NORM} + squares / n - 2 * ({DOT}) / n AS d FROM points, stats),
+    scored AS (
+      SELECT series_id, day, max(CASE WHEN label = cluster AND n > 1 THEN d * n / (n - 1) END) AS a,
+        min(CASE WHEN label <> cluster THEN d END) AS b FROM means GROUP BY 1, 2)
+    SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) + 0.0 AS silhouette FROM scored""",
+)
+def silhouette_of_labels(spark: SparkSession, sf: str) -> DataFrame:
+    rows = measures(spark, sf)
+    labelled = rows.withColumn("label", nearest_centre(POINT, stored_centres(rows)))
+    return rounded(silhouette(labelled, POINT, "label"), ["silhouette"], 6)
+
+
+@query("kmeans_fit")
+def kmeans_fit(spark: SparkSession, sf: str) -> DataFrame:
+    rows = measures(spark, sf)
+    return apply_model(fit_labels(rows, LABEL_FEATURES, k=7), rows, ["series_id", "day", "label"])
+
+
+@query("kmeans_select_k")
+def kmeans_select_k(spark: SparkSession, sf: str) -> DataFrame:
+    scores = score_candidates(measures(spark, sf), LABEL_FEATURES)
+    best = choose_k(scores)
+    rows = [(k, score, int(k == best)) for k, score in scores]
+    return spark.createDataFrame(rows, "k int, silhouette double, chosen int")
+
+
+@query(
+    "class_weights",
+    """WITH counts AS (SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY 1)
+    SELECT label, n, round((SELECT sum(n) FROM counts) / ((SELECT count(*) FROM counts) * n), 6) AS weight FROM counts""",
+)
+def balanced_weights(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "orders").withColumnRenamed("o_orderpriority", "label")
+    return rounded(class_weights(rows, "label"), ["weight"], 6)
+
+
+def labelled_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Feature rows with a class, split by time within each series."""
+    rows = feature_rows(spark, sf)
+    labelled = fit_labels(rows, LABEL_FEATURES, TRAIN.k).transform(rows)
+    parts = materialise(spark, chronological_split(labelled.drop("features", "scaled"), KEYS), "parts")
+    return parts.where(F.col("part") == "train"), parts.where(F.col("part") == "test")
+
+
+@query("rf_classify")
+def rf_classify(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = labelled_parts(spark, sf)
+    model = fit_classifier(train, FEATURES.columns, "label", TRAIN.trees, TRAIN.depth)
+    return apply_model(model, test, ["series_id", "day", "label", "predicted_label"])
+
+
+@query("rf_regress")
+def rf_regress(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = labelled_parts(spark, sf)
+    inputs = ["mean_forecast", "label", "cloud", "season_Spring", "season_Summer", "season_Winter"]
+    keep = ["series_id", "day"]
+    out = test
+    for target, name in (("temperature_max", "predicted_maximum"), ("temperature_min", "predicted_minimum")):
+        model = fit_regressor(train, inputs, target, name, TRAIN.trees, TRAIN.high_low_depth)
+        out = model.transform(out).drop(f"{name}_features")
+    return out.select(*keep, "temperature_max", "predicted_maximum", "temperature_min", "predicted_minimum")
+
+
+@query("stacked_minmax")
+def stacked_minmax(spark: SparkSession, sf: str) -> DataFrame:
+    rows = feature_rows(spark, sf)
+    train, test = rows.where(F.col("day") < F.lit(CUTOFF)), rows.where(F.col("day") >= F.lit(CUTOFF))
+    scored = with_high_low(Bundle(fit_models(train, FEATURES, TRAIN), {}), test)
+    return scored.select("series_id", "day", "predicted_label", "predicted_maximum", "predicted_minimum")
+
+
+@query("model_roundtrip")
+def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    rows = measures(spark, sf)
+    path = f"{fresh_path(spark, 'models')}/labels"
+    model = fit_labels(rows, LABEL_FEATURES, k=5)
+    model.write().overwrite().save(path)
+    before = apply_model(model, rows, ["series_id", "day", "label"])
+    after = apply_model(PipelineModel.load(path), rows, ["series_id", "day", F.col("label").alias("label_after")])
+    return before.join(after, ["series_id", "day"])
+
+
+@query("train_if_missing")
+def train_when_missing(spark: SparkSession, sf: str) -> DataFrame:
+    daily, path = daily_measures(spark, sf), fresh_path(spark, "bundle")
+    _, first = train_if_missing(spark, path, daily, FEATURES, TRAIN)
+    bundle, second = train_if_missing(spark, path, daily, FEATURES, TRAIN)
+    model = bundle.tables["forecaster"].select("series_id", F.concat_ws(",", "lags").alias("lags"))
+    return model.withColumns({"trained_first": F.lit(int(first)), "trained_again": F.lit(int(second))})
+
+
+@query("forecast_7d")
+def forecast_7d(spark: SparkSession, sf: str) -> DataFrame:
+    daily = daily_measures(spark, sf)
+    bundle = train_bundle(spark, daily, FEATURES, TRAIN)
+    return forecast_days(daily, bundle, FEATURES, TRAIN, 7, ["humidity", "wind", "cloud"])
+
+
+@query("historical_evaluation")
+def historical_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    daily = daily_measures(spark, sf)
+    start, end = date(2001, 1, 1), date(2001, 6, 2)
+    bundle = train_bundle(spark, daily.where(F.col("day") < F.lit(start)), FEATURES, TRAIN)
+    results = evaluate_range(daily, bundle, FEATURES, TRAIN, start, end)
+    return save_evaluation(spark, results, fresh_path(spark, "evaluation"), start)
+
+
+@query("backtest_models")
+def backtest_forests(spark: SparkSession, sf: str) -> DataFrame:
+    windows = [(date(2001, 4, 1), date(2001, 4, 30)), (date(2001, 5, 1), date(2001, 5, 30))]
+    return backtest_models(feature_rows(spark, sf), windows, FEATURES, TRAIN)

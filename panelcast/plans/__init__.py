@@ -1 +1 @@
-"""Pending."""
+"""Pipelines: features, training, forecasts, back-tests and evaluation."""

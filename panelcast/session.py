@@ -28,7 +28,7 @@ def build_session(
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
 
 

@@ -1 +1 @@
-"""Pending."""
+"""Incremental ingest and daily aggregates over arriving files."""
