@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.catalog.inputs import (
@@ -12,12 +12,14 @@ from panelcast.catalog.inputs import (
     CUSTOMER_SPANS,
     FULL,
     MEASURES,
+    OBS,
     PANEL,
     band,
     customer_spans,
     full_panel,
     iso,
     measures,
+    obs,
     panel,
     r,
     rounded,
@@ -42,7 +44,8 @@ from panelcast.operators.folds import (
     folds_last,
     folds_or_split,
 )
-from panelcast.operators.resample import day_span
+from panelcast.operators.frames import next_day, window_features
+from panelcast.operators.resample import daily, day_span
 from panelcast.operators.scores import average_over
 from panelcast.plans.features import FeatureSpec
 from panelcast.plans.forecasting import future_features, future_rows
@@ -331,3 +334,39 @@ def next_day_features(spark: SparkSession, sf: str) -> DataFrame:
         *[r(c).alias(c) for c in values],
         r("y_x_y_max", 2).alias("y_x_y_max"),
     )
+
+
+@query(
+    "daily_slice",
+    f"""WITH {OBS}, days AS (
+      SELECT series_id, CAST(ts AS DATE) AS day, round(avg(value), 4) AS y, min(value) AS y_min, max(value) AS y_max
+      FROM obs GROUP BY 1, 2),
+    made AS (
+      SELECT *, lag(y, 1) OVER w AS x, lag(y, 7) OVER w AS y_lag_7, lead(y) OVER w AS target,
+        CASE WHEN count(y) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3
+          THEN avg(y) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END AS y_rolling_mean_3d
+      FROM days WINDOW w AS (PARTITION BY series_id ORDER BY day)),
+    model AS (SELECT series_id, regr_slope(y, x) AS phi, regr_intercept(y, x) AS intercept FROM made GROUP BY 1)
+    SELECT series_id, count(*) AS days, round(avg(abs(intercept + phi * y - target)), 4) AS ar_mae,
+      round(avg(abs(y_lag_7 - target)), 4) AS week_mae, round(avg(abs(y_rolling_mean_3d - target)), 4) AS rolling_mae
+    FROM made JOIN model USING (series_id) WHERE target IS NOT NULL GROUP BY 1""",
+)
+def daily_slice(spark: SparkSession, sf: str) -> DataFrame:
+    """Scan, daily aggregate, window features, AR(1) next-day forecast and error per series."""
+    days = daily(obs(spark, sf), {"value": ["mean", "min", "max"]})
+    days = days.select("series_id", "day", F.round("value_mean", 4).alias("y"))
+    made = window_features(days, ["y"], KEYS, lags=[1, 7], windows=[3], statistics=["mean"], difference=False)
+    made = next_day(made, {"target": "y"}, KEYS)
+    model = fit_first_order(days, KEYS, "y")
+    scored = made.join(model.select("series_id", "phi", "intercept"), KEYS).where(F.col("target").isNotNull())
+    ahead = F.col("intercept") + F.col("phi") * F.col("y")
+
+    def gap(value: Column) -> Column:
+        return r(F.avg(F.abs(value - F.col("target"))))
+
+    return scored.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("days"),
+        gap(ahead).alias("ar_mae"),
+        gap(F.col("y_lag_7")).alias("week_mae"),
+        gap(F.col("y_rolling_mean_3d")).alias("rolling_mae"),
+    )

@@ -15,8 +15,9 @@ FALLBACK_K = 3
 
 
 def vector_stages(features: list[str], output: str = "scaled") -> list:
+    """Assemble and standardise; a missing value passes as NaN and is masked after scoring."""
     return [
-        VectorAssembler(inputCols=features, outputCol="features"),
+        VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"),
         StandardScaler(inputCol="features", outputCol=output, withMean=True, withStd=True),
     ]
 

@@ -29,7 +29,7 @@ def fit_classifier(
     features: list[str],
     label: str,
     trees: int = 100,
-    depth: int = 15,
+    depth: int = 10,
     seed: int = 42,
     prediction: str = "predicted_label",
 ) -> PipelineModel:
@@ -64,7 +64,7 @@ def fit_regressor(
     forest = RandomForestRegressor(
         numTrees=trees, maxDepth=depth, seed=seed, featuresCol=vector, labelCol=target, predictionCol=prediction
     )
-    stages = [VectorAssembler(inputCols=features, outputCol=vector), forest]
+    stages = [VectorAssembler(inputCols=features, outputCol=vector, handleInvalid="keep"), forest]
     return Pipeline(stages=stages).fit(df.dropna(subset=[*features, target]))
 
 
@@ -75,15 +75,9 @@ def apply_model(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFra
 
 
 def apply_keeping_gaps(model: PipelineModel, df: DataFrame, prediction: str) -> DataFrame:
-    """All rows; those with a missing feature have a NULL prediction.
-
-    The gaps are filled with 0 only to pass the assembler, then masked.
-    """
-    inputs = model.stages[0].getInputCols()
+    """All rows; those with a missing feature have a NULL prediction."""
     known = F.lit(True)
-    for name in inputs:
+    for name in model.stages[0].getInputCols():
         known = known & F.col(name).isNotNull()
-    marked = df.withColumn("_known", known).withColumns({f"_raw_{c}": F.col(c) for c in inputs})
-    scored = model.transform(marked.fillna(0, subset=inputs))
-    out = [F.col(f"_raw_{c}").alias(c) if c in inputs else F.col(c) for c in df.columns]
-    return scored.select(*out, F.when(F.col("_known"), F.col(prediction)).alias(prediction))
+    scored = model.transform(df)
+    return scored.select(*df.columns, F.when(known, F.col(prediction)).alias(prediction))

@@ -72,7 +72,11 @@ def build_features(df: DataFrame, spec: FeatureSpec, keep: list[str] | None = No
 
 
 def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """A table below the shared folder, read back: used many times, lost with no executor."""
+    """A table below the shared folder, read back: used many times, lost with no executor.
+
+    Rows are spread evenly over the cores first. Iterative fits read the table
+    again and again, and a layout by series would leave most tasks idle.
+    """
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
     return spark.read.parquet(path)
