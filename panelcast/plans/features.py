@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelcast.functions.dates import SEASON_FLAGS, with_calendar
 from panelcast.functions.physics import dew_point, interactions, polynomial
 from panelcast.operators.frames import LAGS, STATISTICS, WINDOWS, window_features
+from panelcast.schema import unique_names
 from panelcast.session import fresh_path
 
 CALENDAR = [
@@ -52,7 +53,7 @@ class FeatureSpec:
         derived += [f"{c}_rolling_{s}_{w}d" for c in self.levels for w in self.windows for s in STATISTICS]
         derived += [f"{c}_diff_1d" for c in self.levels]
         powers = [n for n in polynomial(self.poly) if n not in self.poly]
-        return [*CALENDAR, *self.levels, *derived, *self.pairs, *powers]
+        return unique_names([*CALENDAR, *self.levels, *derived, *self.pairs, *powers])
 
 
 def build_features(df: DataFrame, spec: FeatureSpec, keep: list[str] | None = None) -> DataFrame:
@@ -61,8 +62,8 @@ def build_features(df: DataFrame, spec: FeatureSpec, keep: list[str] | None = No
     if spec.dew:
         rows = rows.withColumn("dew_point", dew_point(F.col(spec.dew[0]), F.col(spec.dew[1])))
     rows = window_features(rows, spec.levels, spec.keys, spec.day, spec.lags, spec.windows, full=spec.full_windows)
-    made = interactions(spec.pairs)
-    made.update({n: e for n, e in polynomial(spec.poly).items() if n not in spec.poly})
+    # of two products with one name the first is kept
+    made = {**{n: e for n, e in polynomial(spec.poly).items() if n not in spec.poly}, **interactions(spec.pairs)}
     rows = rows.withColumns(made) if made else rows
     # a deviation over fewer than two known days has no value; it counts as no spread
     spread = [c for c in spec.columns if "_rolling_std_" in c and not spec.full_windows]
