@@ -159,7 +159,35 @@ def ar_select(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("series_id", "n", F.concat_ws(",", "lags").alias("lags"), r("rss", 2).alias("rss"), r("aic").alias("aic"))
 
 
-@query("exog_forecast")
+DRIVERS = """long_rows AS (
+  SELECT series_id, 'humidity' AS variable, day, humidity AS y FROM measures
+  UNION ALL SELECT series_id, 'wind', day, wind FROM measures
+  UNION ALL SELECT series_id, 'cloud', day, cloud FROM measures),
+design AS (
+  SELECT series_id, variable, day, y, lag(y, 1) OVER v AS a, lag(y, 2) OVER v AS b FROM long_rows
+  WINDOW v AS (PARTITION BY series_id, variable ORDER BY day)),
+sums AS (
+  SELECT series_id, variable, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, covar_pop(a, a) AS saa, covar_pop(b, b) AS sbb,
+    covar_pop(a, b) AS sab, covar_pop(a, y) AS say, covar_pop(b, y) AS sby
+  FROM design WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2),
+betas AS (
+  SELECT series_id, variable, my, ma, mb, (sbb * say - sab * sby) / (saa * sbb - sab * sab) AS ba,
+    (saa * sby - sab * say) / (saa * sbb - sab * sab) AS bb FROM sums),
+path(series_id, variable, step, day, now, before) AS (
+  SELECT series_id, variable, 0, max(day), arg_max(y, day), arg_max(a, day) FROM design GROUP BY 1, 2
+  UNION ALL
+  SELECT p.series_id, p.variable, step + 1, p.day + 1, my - ba * ma - bb * mb + ba * now + bb * before, now
+  FROM path p JOIN betas b ON b.series_id = p.series_id AND b.variable = p.variable WHERE step < 7)"""
+
+
+@query(
+    "exog_forecast",
+    f"""WITH RECURSIVE {MEASURES}, {DRIVERS} SELECT series_id, CAST(step AS INTEGER) AS step, {DAY},
+      round(max(now) FILTER (WHERE variable = 'humidity'), 4) AS humidity,
+      round(max(now) FILTER (WHERE variable = 'wind'), 4) AS wind,
+      round(max(now) FILTER (WHERE variable = 'cloud'), 4) AS cloud
+    FROM path WHERE step > 0 GROUP BY series_id, step, path.day""",
+)
 def exog_forecast(spark: SparkSession, sf: str) -> DataFrame:
     columns = ["humidity", "wind", "cloud"]
     ahead = forecast_drivers(measures(spark, sf), KEYS, columns, 7)

@@ -1,4 +1,8 @@
-"""Stand-ins for the observation tables, built from the given tables, in Spark and in SQL."""
+"""Stand-ins for the observation tables, built from the given tables, in Spark and in SQL.
+
+Means are expressed in units of 997: dividing by a prime keeps them from ending
+exactly between two rounded values, where the engines round differently.
+"""
 
 from __future__ import annotations
 
@@ -55,8 +59,8 @@ def hourly(spark: SparkSession, sf: str) -> DataFrame:
         obs(spark, sf)
         .groupBy("series_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"))
         .agg(
-            F.round(F.avg("value"), 4).alias("temperature_2m"),
-            F.round(F.avg("k"), 4).alias("relative_humidity_2m"),
+            F.round(F.avg("value") * 100 / 997, 4).alias("temperature_2m"),
+            F.round(F.avg("k") * 1000 / 997, 4).alias("relative_humidity_2m"),
             F.max("value").alias("wind_speed_10m"),
             F.min("value").alias("cloud_cover"),
             F.round(F.sum("value"), 2).alias("precipitation"),
@@ -67,7 +71,7 @@ def hourly(spark: SparkSession, sf: str) -> DataFrame:
 
 HOURLY = f"""{OBS}, hourly AS (
   SELECT series_id, date_trunc('hour', ts) AS ts,
-         round(avg(value), 4) AS temperature_2m, round(avg(k), 4) AS relative_humidity_2m,
+         round(avg(value) * 100 / 997, 4) AS temperature_2m, round(avg(k) * 1000 / 997, 4) AS relative_humidity_2m,
          max(value) AS wind_speed_10m, min(value) AS cloud_cover,
          round(sum(value), 2) AS precipitation, max(k) AS weather_code
   FROM obs GROUP BY 1, 2)"""
@@ -94,22 +98,22 @@ def wide_hours(spark: SparkSession, sf: str) -> DataFrame:
     return (
         obs(spark, sf)
         .groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"))
-        .agg(*[F.round(F.avg(F.when(F.col("series_id") == k, F.col("value"))), 4).alias(k) for k in kinds])
+        .agg(*[F.round(F.avg(F.when(F.col("series_id") == k, F.col("value"))) * 100 / 997, 4).alias(k) for k in kinds])
     )
 
 
 WIDE = f"""{OBS}, wide AS (
   SELECT date_trunc('hour', ts) AS ts,
-         round(avg(value) FILTER (WHERE series_id = 'click'), 4) AS click,
-         round(avg(value) FILTER (WHERE series_id = 'error'), 4) AS error,
-         round(avg(value) FILTER (WHERE series_id = 'purchase'), 4) AS purchase,
-         round(avg(value) FILTER (WHERE series_id = 'signup'), 4) AS signup,
-         round(avg(value) FILTER (WHERE series_id = 'view'), 4) AS view
+         round(avg(value) FILTER (WHERE series_id = 'click') * 100 / 997, 4) AS click,
+         round(avg(value) FILTER (WHERE series_id = 'error') * 100 / 997, 4) AS error,
+         round(avg(value) FILTER (WHERE series_id = 'purchase') * 100 / 997, 4) AS purchase,
+         round(avg(value) FILTER (WHERE series_id = 'signup') * 100 / 997, 4) AS signup,
+         round(avg(value) FILTER (WHERE series_id = 'view') * 100 / 997, 4) AS view
   FROM obs GROUP BY 1)"""
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily panel of orders by priority, values in units of 997 (a prime, so that no mean ends exactly between two rounded values); days without orders are absent."""
+    """Daily panel of orders by priority; days without orders are absent."""
     price = F.col("o_totalprice")
     return (
         table(spark, sf, "orders")

@@ -97,7 +97,7 @@ def daily_avg_max_min(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {HOURLY}, placed AS (
       SELECT *, (row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1) // 24 AS chunk FROM hourly)
     SELECT series_id, chunk, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS chunk_start,
-      round(avg(temperature_2m), 4) AS temperature_2m_mean, max(temperature_2m) AS temperature_2m_max,
+      round(avg(temperature_2m), 8) AS temperature_2m_mean, max(temperature_2m) AS temperature_2m_max,
       round(sum(precipitation), 2) AS precipitation_sum
     FROM placed GROUP BY 1, 2 HAVING count(*) = 24""",
 )
@@ -106,7 +106,7 @@ def chunk_agg_24(spark: SparkSession, sf: str) -> DataFrame:
     chunks = chunks_of(hourly(spark, sf), spec)
     chunks = chunks.withColumn("chunk_start", iso_ts("chunk_start"))
     return chunks.withColumns(
-        {"temperature_2m_mean": r("temperature_2m_mean"), "precipitation_sum": r("precipitation_sum", 2)}
+        {"temperature_2m_mean": r("temperature_2m_mean", 8), "precipitation_sum": r("precipitation_sum", 2)}
     )
 
 

@@ -85,7 +85,8 @@ def position(df: DataFrame, keys: list[str], order: list[str], bucket: Column) -
 
     Rows are numbered within a time bucket and shifted by the number of rows in
     earlier buckets, so no task holds a whole series. `bucket` must rise with
-    the first of `order`.
+    the first of `order` and hold a bounded number of rows, as a day of a table
+    with one row per series and hour does.
     """
     placed = df.withColumn("_bucket", bucket)
     sizes = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))

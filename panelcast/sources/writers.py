@@ -39,7 +39,8 @@ def insert_if_absent(
 ) -> DataFrame:
     """Rows to append: the first of each key in the batch (by `order`) that the target lacks.
 
-    With `ts` the target is read only for the days the batch touches.
+    With `ts` the target is read only for the days the batch touches, and of a
+    table with `year` and `month` folders only those months.
     """
     first = first_per_key(batch, keys, order)
     if ts is not None:
@@ -47,9 +48,17 @@ def insert_if_absent(
         if span[0] is None:
             return first
         target = target.where(in_range(F.col(ts), span[0], span[1]))
+        if {"year", "month"} <= set(target.columns):
+            target = target.where(in_months(span[0], span[1]))
     return new_rows(first, target, keys)
 
 
+def in_months(start: date, end: date) -> Column:
+    """The folders of a table laid out by year and month that a day range touches."""
+    number = F.col("year") * 12 + F.col("month")
+    return number.between(start.year * 12 + start.month, end.year * 12 + end.month)
+
+
 def append_if_absent(
     spark: SparkSession,
     batch: DataFrame,
@@ -93,7 +102,3 @@ def write_csv(df: DataFrame, folder: str, stem: str, year: date | int) -> str:
     path = f"{folder.rstrip('/')}/{stem}_{number}_results.csv"
     df.write.mode("overwrite").option("header", True).csv(path)
     return path
-
-
-def is_missing(value: Column) -> Column:
-    return value.isNull() | F.isnan(value)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -46,17 +46,26 @@ def start_ingest(
     )
 
 
+def as_instant(ts: Column) -> Column:
+    """Local time without zone as an instant of UTC, whatever the session's zone.
+
+    Event-time columns must be instants, and windows of a day begin at midnight UTC.
+    """
+    parts = [F.date_part(F.lit(p), ts) for p in ("YEAR", "MONTH", "DAY", "HOUR", "MINUTE", "SECOND")]
+    return F.make_timestamp(*parts, F.lit("UTC"))
+
+
 def daily_windows(stream: DataFrame, value: str, keys: list[str], delay: str, ts: str = "ts") -> DataFrame:
     """Mean, minimum, maximum and count per series and day, final once the watermark passes the day."""
-    timed = stream.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", delay)
+    timed = stream.withColumn("_at", as_instant(F.col(ts))).withWatermark("_at", delay)
     grouped = timed.groupBy(*keys, F.window("_at", "1 day").alias("_day")).agg(
+        F.min(F.to_date(ts)).alias("day"),
         F.avg(value).alias(f"{value}_mean"),
         F.min(value).alias(f"{value}_min"),
         F.max(value).alias(f"{value}_max"),
         F.count(value).alias("n"),
     )
-    day = F.to_date(F.col("_day.start")).alias("day")
-    return grouped.select(*keys, day, f"{value}_mean", f"{value}_min", f"{value}_max", "n")
+    return grouped.drop("_day")
 
 
 def start_daily(windows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

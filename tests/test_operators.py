@@ -97,7 +97,7 @@ def test_iso_week_and_leap_day(spark):
     assert (leap.day_of_year, leap.month) == (60, 2)
 
 
-def test_positions_with_a_hot_day(spark):
+def test_positions_across_uneven_days(spark):
     rows = spark.range(5000).select(
         F.lit("s").alias("series_id"),
         F.when(F.col("id") < 4000, F.lit("2024-01-02")).otherwise(F.lit("2024-01-01")).cast("date").alias("day"),

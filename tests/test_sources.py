@@ -14,13 +14,14 @@ from panelcast.sources.tables import in_range, like_prefix, prefix_bounds, scan
 from panelcast.sources.writers import (
     append_if_absent,
     duplicate_keys,
+    insert_if_absent,
     nan_to_null,
     rewrite_without_month,
     write_csv,
     write_partitioned,
 )
 from panelcast.operators.dedupe import first_per_key
-from panelcast.streaming.flows import arriving, daily_windows, start_daily, start_ingest
+from panelcast.streaming.flows import arriving, as_instant, daily_windows, start_daily, start_ingest
 
 
 def plan(df) -> str:
@@ -150,6 +151,24 @@ def test_insert_if_absent_is_idempotent(spark, hourly):
     assert table.where(F.col("temperature") == -1.0).count() == hourly.count() - before
 
 
+def test_only_touched_months_are_read(spark, hourly):
+    path = fresh_path(spark, "test-pruned")
+    write_partitioned(hourly, path)
+    batch = hourly.where(F.date_format("ts", "yyyy-MM") == "2021-01")
+    text = plan(insert_if_absent(batch, spark.read.parquet(path), ["series_id", "ts"], ["temperature"], "ts"))
+    assert "PartitionFilters: [isnotnull(year" in text
+
+
+def test_streamed_days_do_not_follow_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        df = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 03:15:00.25' AS ts").select(as_instant(F.col("ts")).alias("at"))
+        assert df.select(F.unix_micros("at")).first()[0] == 1704078900250000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_empty_batch_adds_nothing(spark, hourly):
     path = fresh_path(spark, "test-empty")
     keys = ["series_id", "ts"]
