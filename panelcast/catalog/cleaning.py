@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.catalog.inputs import FULL, OBS, PANEL, WIDE, full_panel, iso, iso_ts, obs, panel, r, table, wide_hours
+from panelcast.catalog.inputs import FULL, OBS, PANEL, WIDE, full_panel, iso, iso_ts, obs, panel, r, stored_panel, table, wide_hours
 from panelcast.catalog.registry import query
 from panelcast.functions.dates import with_calendar
 from panelcast.functions.present import first_known
@@ -139,7 +139,7 @@ def fill_const(spark: SparkSession, sf: str) -> DataFrame:
     round(coalesce(y_max, avg(y_max) OVER (PARTITION BY series_id)), 4) AS y_max FROM full_panel""",
 )
 def fill_by_mean(spark: SparkSession, sf: str) -> DataFrame:
-    rows = full_panel(spark, sf).select("series_id", "day", "y", "y_max")
+    rows = stored_panel(spark, sf).select("series_id", "day", "y", "y_max")
     filled = fill_mean(rows, ["y", "y_max"], ["series_id"])
     return filled.select("series_id", iso("day").alias("day"), r("y").alias("y"), r("y_max").alias("y_max"))
 

@@ -23,6 +23,8 @@ from panelcast.catalog.inputs import (
     panel,
     r,
     rounded,
+    stored_measures,
+    stored_panel,
 )
 from panelcast.catalog.registry import query
 from panelcast.operators.autoreg import (
@@ -77,14 +79,14 @@ def ar1_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ar1_forecast", f"WITH {AR1}, {LAST.format('full_panel')}, {STEPS} {PATH}")
 def ar1_forecast(spark: SparkSession, sf: str) -> DataFrame:
-    rows = full_panel(spark, sf)
+    rows = stored_panel(spark, sf)
     path = forecast_first_order(rows, fit_first_order(rows, KEYS, "y"), KEYS, "y", 7)
     return path.withColumns({"day": iso("day"), "forecast": r("forecast")})
 
 
 @query("ar1_update", f"WITH {AR1_TRAIN}, {LAST.format('full_panel')}, {STEPS} {PATH}")
 def ar1_update(spark: SparkSession, sf: str) -> DataFrame:
-    rows = full_panel(spark, sf)
+    rows = stored_panel(spark, sf)
     model = fit_first_order(before(rows, F.lit(CUTOFF)), KEYS, "y")
     path = forecast_first_order(rows, model, KEYS, "y", 7)
     return path.withColumns({"day": iso("day"), "forecast": r("forecast")})
@@ -96,7 +98,7 @@ def ar1_update(spark: SparkSession, sf: str) -> DataFrame:
     FROM pairs JOIN model USING (series_id)""",
 )
 def ar1_insample(spark: SparkSession, sf: str) -> DataFrame:
-    rows = full_panel(spark, sf)
+    rows = stored_panel(spark, sf)
     fitted = fitted_first_order(rows, fit_first_order(rows, KEYS, "y"), KEYS, "y")
     return fitted.select("series_id", iso("day").alias("day"), "y", r("fitted").alias("fitted"))
 
@@ -190,7 +192,7 @@ path(series_id, variable, step, day, now, before) AS (
 )
 def exog_forecast(spark: SparkSession, sf: str) -> DataFrame:
     columns = ["humidity", "wind", "cloud"]
-    ahead = forecast_drivers(measures(spark, sf), KEYS, columns, 7)
+    ahead = forecast_drivers(stored_measures(spark, sf), KEYS, columns, 7)
     return rounded(ahead.withColumn("day", iso("day")), columns)
 
 
@@ -295,7 +297,7 @@ direct AS (
 
 
 def direct(spark: SparkSession, sf: str) -> DataFrame:
-    rows = full_panel(spark, sf).select("series_id", "day", "y")
+    rows = stored_panel(spark, sf).select("series_id", "day", "y")
     folds = folds_last(day_span(rows, KEYS), KEYS)
     return backtest_first_order(rows, folds, KEYS, "y").drop("_lag_1")
 
@@ -347,7 +349,7 @@ def backtest_summary(spark: SparkSession, sf: str) -> DataFrame:
     FROM made WHERE step = 1""",
 )
 def next_day_features(spark: SparkSession, sf: str) -> DataFrame:
-    rows = full_panel(spark, sf)
+    rows = stored_panel(spark, sf)
     spec = FeatureSpec(KEYS, "y", ["y", "y_max", "n"], pairs={"y_x_y_max": ("y", "y_max")})
     means = forecast_first_order(rows, fit_first_order(rows, KEYS, "y"), KEYS, "y", 1)
     future = future_rows(rows, means, spec, 1, profile_days=30)

@@ -20,6 +20,8 @@ from panelcast.catalog.inputs import (
     panel,
     r,
     rounded,
+    stored_measures,
+    stored_panel,
     table,
 )
 from panelcast.catalog.registry import query
@@ -251,7 +253,7 @@ def interactions_of_day(spark: SparkSession, sf: str) -> DataFrame:
       round(temperature * wind, 8) AS temperature_x_wind, round(wind * wind, 8) AS wind_x_wind FROM filled""",
 )
 def poly_degree2(spark: SparkSession, sf: str) -> DataFrame:
-    rows = measures(spark, sf).withColumn("wind", F.when(F.col("humidity") >= 30, F.col("wind")))
+    rows = stored_measures(spark, sf).withColumn("wind", F.when(F.col("humidity") >= 30, F.col("wind")))
     rows = fill_mean(rows.select("series_id", "day", "temperature", "wind"), ["wind"], ["series_id"])
     rows = rounded(rows, ["wind"])
     terms = polynomial(["temperature", "wind"])
@@ -287,7 +289,7 @@ def label_describe(spark: SparkSession, sf: str) -> DataFrame:
     round(y + up, 6) AS high_learned, round(y - down, 6) + 0.0 AS low_learned FROM panel JOIN offsets USING (series_id)""",
 )
 def minmax_from_mean(spark: SparkSession, sf: str) -> DataFrame:
-    rows = panel(spark, sf)
+    rows = stored_panel(spark, sf).where(F.col("y").isNotNull())
     rows = rows.join(diurnal_offsets(rows, ["series_id"], "y", "y_max", "y_min"), "series_id")
     high, low = spread_from_mean(F.col("y"))
     high_learned, low_learned = spread_from_mean(F.col("y"), F.col("up"), F.col("down"))

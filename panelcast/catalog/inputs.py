@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.operators.resample import fill_gaps
+from panelcast.session import materialise
 from panelcast.sources.tables import read_table
 
 
@@ -150,6 +151,11 @@ full_panel AS (
   FROM days d LEFT JOIN panel p ON p.series_id = d.series_id AND p.day = d.day)"""
 
 
+def stored_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """The full panel written once, for queries that use it more than once: the raw rows are read one time."""
+    return materialise(spark, full_panel(spark, sf), "panel")
+
+
 def measures(spark: SparkSession, sf: str) -> DataFrame:
     """Daily panel of line items by return flag with several measures."""
     return (
@@ -176,6 +182,10 @@ MEASURES = """measures AS (
   FROM lineitem GROUP BY 1, 2)"""
 
 
+def stored_measures(spark: SparkSession, sf: str) -> DataFrame:
+    return materialise(spark, measures(spark, sf), "measures")
+
+
 def status_days(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Two daily sources keyed by status and day; the first knows one status more."""
     basic = (

@@ -10,12 +10,12 @@ from panelcast.catalog.inputs import (
     GRADED,
     OBS,
     STATUS,
-    full_panel,
     graded,
     iso,
     obs,
     r,
     status_days,
+    stored_panel,
     table,
 )
 from panelcast.catalog.registry import query
@@ -111,7 +111,7 @@ def intersect_dates(spark: SparkSession, sf: str) -> DataFrame:
     LEFT JOIN forecasts f ON f.series_id = d.series_id AND f.day = d.day""",
 )
 def join_forecast_actual(spark: SparkSession, sf: str) -> DataFrame:
-    full = full_panel(spark, sf)
+    full = stored_panel(spark, sf)
     known = full.where(F.col("y").isNotNull())
     actual = known.select(*KEYS, F.col("y").alias("actual"))
     forecast = seasonal_naive(known.select(*KEYS, "y"), ["series_id"], "y")

@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.catalog.inputs import MEASURES, iso, measures, r, rounded, table
+from panelcast.catalog.inputs import MEASURES, iso, measures, rounded, stored_measures, table
 from panelcast.catalog.registry import query
 from panelcast.operators.autoreg import select_lags
 from panelcast.operators.cluster import choose_k, fit_labels, nearest_centre, score_candidates, silhouette
@@ -18,7 +18,7 @@ from panelcast.operators.forests import apply_model, class_weights, fit_classifi
 from panelcast.operators.resample import fill_gaps
 from panelcast.operators.scaling import Scaler, fit_scaler
 from panelcast.plans.evaluation import backtest_models, evaluate_range, save_evaluation
-from panelcast.plans.features import FeatureSpec, materialise
+from panelcast.plans.features import FeatureSpec
 from panelcast.plans.forecasting import forecast_days
 from panelcast.plans.training import (
     Bundle,
@@ -29,7 +29,7 @@ from panelcast.plans.training import (
     training_rows,
     with_high_low,
 )
-from panelcast.session import fresh_path
+from panelcast.session import fresh_path, materialise
 
 KEYS = ["series_id"]
 POINT = ["temperature", "humidity", "wind", "cloud"]
@@ -49,7 +49,7 @@ CUTOFF = date(2000, 7, 1)
 
 
 def daily_measures(spark: SparkSession, sf: str) -> DataFrame:
-    return fill_gaps(measures(spark, sf), KEYS)
+    return materialise(spark, fill_gaps(measures(spark, sf), KEYS), "measures")
 
 
 def feature_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,7 +67,7 @@ FITTED = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS d_{c}" for c in POINT
     SELECT series_id, strftime(day, '%Y-%m-%d') AS day, {SCALED} FROM measures, fitted""",
 )
 def standardize(spark: SparkSession, sf: str) -> DataFrame:
-    rows = measures(spark, sf)
+    rows = stored_measures(spark, sf)
     scaler = fit_scaler(rows.where(F.col("day") < F.lit(CUTOFF)), POINT)
     return rounded(scaler.apply(rows).select("series_id", iso("day").alias("day"), *POINT), POINT, 6)
 
@@ -113,7 +113,7 @@ def stored_centres(rows: DataFrame) -> list[tuple[int, list[float]]]:
     f"WITH {NEAREST} SELECT series_id, strftime(day, '%Y-%m-%d') AS day, CAST(label AS INTEGER) AS label FROM assigned WHERE rn = 1",
 )
 def kmeans_assign(spark: SparkSession, sf: str) -> DataFrame:
-    rows = measures(spark, sf)
+    rows = stored_measures(spark, sf)
     label = nearest_centre(POINT, stored_centres(rows))
     return rows.select("series_id", iso("day").alias("day"), label.alias("label"))
 
@@ -136,20 +136,20 @@ DOT = " + ".join(f"{c} * s_{c}" for c in POINT)
     SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) + 0.0 AS silhouette FROM scored""",
 )
 def silhouette_of_labels(spark: SparkSession, sf: str) -> DataFrame:
-    rows = measures(spark, sf)
+    rows = stored_measures(spark, sf)
     labelled = rows.withColumn("label", nearest_centre(POINT, stored_centres(rows)))
     return rounded(silhouette(labelled, POINT, "label"), ["silhouette"], 6)
 
 
 @query("kmeans_fit")
 def kmeans_fit(spark: SparkSession, sf: str) -> DataFrame:
-    rows = measures(spark, sf)
+    rows = stored_measures(spark, sf)
     return apply_model(fit_labels(rows, LABEL_FEATURES, k=7), rows, ["series_id", "day", "label"])
 
 
 @query("kmeans_select_k")
 def kmeans_select_k(spark: SparkSession, sf: str) -> DataFrame:
-    scores = score_candidates(measures(spark, sf), LABEL_FEATURES)
+    scores = score_candidates(stored_measures(spark, sf), LABEL_FEATURES)
     best = choose_k(scores)
     rows = [(k, score, int(k == best)) for k, score in scores]
     return spark.createDataFrame(rows, "k int, silhouette double, chosen int")
@@ -202,7 +202,7 @@ def stacked_minmax(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("model_roundtrip")
 def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    rows = measures(spark, sf)
+    rows = stored_measures(spark, sf)
     path = f"{fresh_path(spark, 'models')}/labels"
     model = fit_labels(rows, LABEL_FEATURES, k=5)
     model.write().overwrite().save(path)

@@ -39,7 +39,7 @@ DAY = "strftime(day, '%Y-%m-%d') AS day"
 def daily_agg_map(spark: SparkSession, sf: str) -> DataFrame:
     rows = obs(spark, sf).withColumns({"amount": F.col("value"), "direction": F.col("k"), "code": F.col("k")})
     spec = {"value": ["mean", "min", "max"], "amount": ["sum"], "direction": ["first"], "code": ["last"]}
-    days = daily(rows, spec, tie=["event_id"])
+    days = daily(rows, spec)
     return days.withColumns({"day": iso("day"), "value_mean": r("value_mean"), "amount_sum": r("amount_sum", 2)})
 
 
@@ -59,7 +59,7 @@ def daily_sum_zero(spark: SparkSession, sf: str) -> DataFrame:
     arg_max(value, ts) FILTER (WHERE value IS NOT NULL) AS value_last FROM user_obs GROUP BY 1, 2""",
 )
 def daily_first_last(spark: SparkSession, sf: str) -> DataFrame:
-    days = daily(user_obs(spark, sf), {"value": ["first", "last"]}, tie=["event_id"])
+    days = daily(user_obs(spark, sf), {"value": ["first", "last"]})
     return days.withColumn("day", iso("day"))
 
 

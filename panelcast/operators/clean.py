@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -51,10 +52,18 @@ def with_prefix(df: DataFrame, prefixes: list[str], keep: list[str]) -> DataFram
     return df.select(*keep, *names)
 
 
+def is_recent(keys: list[str], days: int, day: str = "day") -> Column:
+    """Whether a daily row is not older than `days` before the last day of its series.
+
+    A window over daily rows reads the input once, and aggregates by series
+    after it need no further exchange.
+    """
+    return F.col(day) >= F.date_sub(F.max(day).over(W.partitionBy(*keys)), days)
+
+
 def trailing_days(df: DataFrame, keys: list[str], days: int, day: str = "day") -> DataFrame:
-    """Rows not older than `days` before the last day of their series."""
-    last = df.groupBy(*keys).agg(F.max(day).alias("_last"))
-    return df.join(last, keys).where(F.col(day) >= F.date_sub("_last", days)).drop("_last")
+    """The daily rows of the last `days` before the last day of each series."""
+    return df.withColumn("_recent", is_recent(keys, days, day)).where("_recent").drop("_recent")
 
 
 def before(df: DataFrame, cutoff: Column, day: str = "day") -> DataFrame:

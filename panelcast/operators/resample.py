@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelcast.operators.clean import trailing_days
+from panelcast.operators.clean import is_recent, trailing_days
 from panelcast.schema import DAY, SERIES, TS
 
 KNOWN = ("mean", "min", "max", "sum", "first", "last")
@@ -41,7 +41,8 @@ def daily(
     prefix: str = "",
 ) -> DataFrame:
     """Calendar-day aggregate by series: `{prefix}{variable}_{aggregate}` columns."""
-    order = F.struct(ts, *(tie or []))
+    # a plain time keeps the aggregate hash-based; only ties between equal times need more
+    order = F.struct(ts, *tie) if tie else F.col(ts)
     terms = [
         aggregate(name, how, order).alias(f"{prefix}{name}_{how}")
         for name, hows in spec.items()
@@ -104,7 +105,7 @@ def chunks_of(
     keys = keys or [SERIES]
     placed = position(df, keys, [ts], F.to_date(ts))
     placed = placed.withColumn("chunk", F.floor(F.col("pos") / size))
-    terms = [aggregate(n, how, F.struct(ts)).alias(f"{n}_{how}") for n, hows in spec.items() for how in hows]
+    terms = [aggregate(n, how, F.col(ts)).alias(f"{n}_{how}") for n, hows in spec.items() for how in hows]
     grouped = placed.groupBy(*keys, "chunk").agg(F.count(F.lit(1)).alias("_n"), F.min(ts).alias("chunk_start"), *terms)
     return grouped.where(F.col("_n") == size).drop("_n")
 
@@ -113,12 +114,12 @@ def diurnal_offsets(
     df: DataFrame, keys: list[str], mean: str, high: str, low: str, days: int = 365, default: float = 5.0
 ) -> DataFrame:
     """Mean of (max - mean) and (mean - min) over the trailing days of daily rows."""
-    recent = trailing_days(df, keys, days)
-    spread = recent.groupBy(*keys).agg(
-        F.avg(F.col(high) - F.col(mean)).alias("up"), F.avg(F.col(mean) - F.col(low)).alias("down")
+    recent = df.withColumn("_recent", is_recent(keys, days))
+    spread = {"up": F.col(high) - F.col(mean), "down": F.col(mean) - F.col(low)}
+    # a series without a known spread in these days still has a row, with the default
+    return recent.groupBy(*keys).agg(
+        *[F.coalesce(F.avg(F.when(F.col("_recent"), e)), F.lit(default)).alias(n) for n, e in spread.items()]
     )
-    filled = {c: F.coalesce(c, F.lit(default)) for c in ("up", "down")}
-    return df.select(*keys).distinct().join(spread, keys, "left").withColumns(filled)
 
 
 def trailing_profile(df: DataFrame, keys: list[str], columns: list[str], days: int = 30) -> DataFrame:

@@ -14,7 +14,8 @@ from panelcast.operators.autoreg import all_lags, select_lags, with_lags
 from panelcast.operators.cluster import choose_k, fit_labels, score_candidates
 from panelcast.operators.forests import apply_keeping_gaps, fit_classifier, fit_regressor
 from panelcast.operators.frames import next_day
-from panelcast.plans.features import FeatureSpec, build_features, materialise
+from panelcast.plans.features import FeatureSpec, build_features
+from panelcast.session import materialise
 from panelcast.sources.bundles import MODEL_PARTS, TABLE_PARTS, load_bundle, save_bundle
 
 
