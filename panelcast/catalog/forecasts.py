@@ -36,7 +36,7 @@ from panelcast.operators.autoreg import (
     forecast_first_order,
     refit_each_day,
     seasonal_naive,
-    select_lags,
+    select_model,
 )
 from panelcast.operators.clean import before
 from panelcast.operators.folds import (
@@ -157,8 +157,8 @@ def arx_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ar_select")
 def ar_select(spark: SparkSession, sf: str) -> DataFrame:
-    best = select_lags(full_panel(spark, sf), KEYS, "y")
-    return best.select("series_id", "n", F.concat_ws(",", "lags").alias("lags"), r("rss", 2).alias("rss"), r("aic").alias("aic"))
+    best = select_model(stored_panel(spark, sf), KEYS, "y")
+    return best.select("series_id", "n", "d", F.concat_ws(",", "lags").alias("lags"), r("rss", 2).alias("rss"), r("aic").alias("aic"))
 
 
 DRIVERS = """long_rows AS (

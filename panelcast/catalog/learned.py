@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelcast.catalog.inputs import MEASURES, iso, measures, rounded, stored_measures, table
 from panelcast.catalog.registry import query
-from panelcast.operators.autoreg import select_lags
+from panelcast.operators.autoreg import select_model
 from panelcast.operators.cluster import choose_k, fit_labels, nearest_centre, score_candidates, silhouette
 from panelcast.operators.folds import chronological_split
 from panelcast.operators.forests import apply_model, class_weights, fit_classifier, fit_regressor
@@ -54,7 +54,7 @@ def daily_measures(spark: SparkSession, sf: str) -> DataFrame:
 
 def feature_rows(spark: SparkSession, sf: str) -> DataFrame:
     daily = daily_measures(spark, sf)
-    return training_rows(spark, daily, select_lags(daily, KEYS, FEATURES.mean), FEATURES, TRAIN)
+    return training_rows(spark, daily, select_model(daily, KEYS, FEATURES.mean), FEATURES, TRAIN)
 
 
 SCALED = ", ".join(f"round(({c} - m_{c}) / d_{c}, 6) + 0.0 AS {c}" for c in POINT)
@@ -200,15 +200,21 @@ def stacked_minmax(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("series_id", "day", "predicted_label", "predicted_maximum", "predicted_minimum")
 
 
-@query("model_roundtrip")
+@query(
+    "model_roundtrip",
+    f"WITH {MEASURES} SELECT series_id, count(*) AS days, CAST(0 AS BIGINT) AS changed FROM measures GROUP BY 1",
+)
 def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Days per series, and how many of them a saved and loaded model labels otherwise."""
     rows = stored_measures(spark, sf)
     path = f"{fresh_path(spark, 'models')}/labels"
     model = fit_labels(rows, LABEL_FEATURES, k=5)
     model.write().overwrite().save(path)
     before = apply_model(model, rows, ["series_id", "day", "label"])
     after = apply_model(PipelineModel.load(path), rows, ["series_id", "day", F.col("label").alias("label_after")])
-    return before.join(after, ["series_id", "day"])
+    changed = F.sum(F.when(F.col("label") == F.col("label_after"), 0).otherwise(1))
+    both = before.join(after, ["series_id", "day"])
+    return both.groupBy("series_id").agg(F.count(F.lit(1)).alias("days"), changed.alias("changed"))
 
 
 @query("train_if_missing")

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from panelcast.operators.frames import by_day, carry_gaps, last_rows
 
-# Season length, and the lag sets tried by the order search.
+# Season length, 5 % bound of the Dickey-Fuller t with a constant,
+# and the lag sets tried by the order search.
 SEASON = 7
+UNIT_ROOT_BOUND = -2.86
 LAG_SETS = [[1], [1, 2], [1, 2, 3], [1, 7], [1, 2, 7], [1, 2, 3, 7], [1, 7, 14], [1, 2, 7, 14]]
 
 
@@ -309,3 +311,68 @@ def seasonal_naive(df: DataFrame, keys: list[str], y: str, day: str = "day", sea
     """The value one season ago, else the previous value."""
     spec = by_day(keys, day)
     return df.withColumn("naive", F.coalesce(F.lag(y, season).over(spec), F.lag(y, 1).over(spec)))
+
+
+def difference_order(
+    df: DataFrame, keys: list[str], y: str, day: str = "day", bound: float = UNIT_ROOT_BOUND
+) -> DataFrame:
+    """`d` is 1 for a series whose unit root is not rejected, else 0."""
+    tested = dickey_fuller(df, keys, y, day)
+    return tested.select(*keys, "t_value", F.when(F.col("t_value") > bound, 1).otherwise(0).alias("d"))
+
+
+def differenced(df: DataFrame, orders: DataFrame, keys: list[str], y: str, day: str = "day") -> DataFrame:
+    """Daily changes in place of the values, for the series with `d` = 1; `_previous` is the value before."""
+    rows = df.withColumn("_previous", F.lag(y, 1).over(by_day(keys, day)))
+    rows = rows.join(orders.select(*keys, "d"), keys, "left")
+    return rows.withColumn(y, F.when(F.col("d") == 1, F.col(y) - F.col("_previous")).otherwise(F.col(y)))
+
+
+def select_model(
+    df: DataFrame, keys: list[str], y: str, candidates: list[list[int]] | None = None, day: str = "day"
+) -> DataFrame:
+    """Differencing by the unit-root test, then the lag set by AIC: the model table of `forecast_selected`."""
+    orders = difference_order(df, keys, y, day)
+    rows = differenced(df, orders, keys, y, day).drop("_previous", "d")
+    return select_lags(rows, keys, y, candidates, day).join(orders.select(*keys, "d"), keys, "left")
+
+
+def forecast_selected(
+    history: DataFrame,
+    model: DataFrame,
+    keys: list[str],
+    y: str,
+    horizon: int,
+    candidates: list[list[int]] | None = None,
+    day: str = "day",
+) -> DataFrame:
+    """Steps of a selected model; forecast changes are added up from the last known value."""
+    rows = differenced(history, model, keys, y, day).drop("_previous", "d")
+    steps = forecast(rows, model, keys, y, all_lags(candidates or LAG_SETS), horizon, day=day)
+    known = history.where(F.col(y).isNotNull())
+    last = known.groupBy(*keys).agg(F.max_by(y, day).cast("double").alias("_last"))
+    joined = steps.join(model.select(*keys, "d"), keys, "left").join(last, keys, "left")
+    total = F.col("_last") + F.sum("forecast").over(W.partitionBy(*keys).orderBy("step"))
+    value = F.when(F.col("d") == 1, total).otherwise(F.col("forecast"))
+    return joined.withColumn("forecast", value).drop("d", "_last")
+
+
+def fitted_selected(
+    df: DataFrame,
+    model: DataFrame,
+    keys: list[str],
+    y: str,
+    candidates: list[list[int]] | None = None,
+    day: str = "day",
+    name: str = "fitted",
+) -> DataFrame:
+    """In-sample one-step values of a selected model; the value itself where it has none."""
+    lags = all_lags(candidates or LAG_SETS)
+    rows = differenced(df.withColumn("_value", F.col(y)), model, keys, y, day)
+    rows = with_lags(rows, y, lags, keys, day).join(model.select(*keys, "coefficients"), keys, "left")
+    value = F.element_at("coefficients", 1)
+    for i, k in enumerate(lags):
+        value = value + F.element_at("coefficients", 2 + i) * F.col(f"_lag_{k}")
+    value = F.when(F.col("d") == 1, value + F.col("_previous")).otherwise(value)
+    fitted = rows.withColumn(name, F.coalesce(value, F.col("_value"))).withColumn(y, F.col("_value"))
+    return fitted.select(*df.columns, name)

@@ -24,6 +24,16 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.select(label, "n", (total / (classes * F.col("n"))).alias("weight"))
 
 
+def fit_on_vectors(stages: list, forest, rows: DataFrame, columns: list[str]) -> PipelineModel:
+    """Fit a forest on assembled vectors alone; it passes over them several times, so they are kept meanwhile."""
+    prepared = Pipeline(stages=stages).fit(rows)
+    vectors = prepared.transform(rows).select(*columns).persist()
+    try:
+        return PipelineModel(stages=[*prepared.stages, forest.fit(vectors)])
+    finally:
+        vectors.unpersist()
+
+
 def fit_classifier(
     df: DataFrame,
     features: list[str],
@@ -48,7 +58,7 @@ def fit_classifier(
         rawPredictionCol="raw",
         probabilityCol="probability",
     )
-    return Pipeline(stages=[*vector_stages(features), forest]).fit(weighted)
+    return fit_on_vectors(vector_stages(features), forest, weighted, ["scaled", label, "weight"])
 
 
 def fit_regressor(
@@ -60,12 +70,12 @@ def fit_regressor(
     depth: int = 10,
     seed: int = 42,
 ) -> PipelineModel:
-    vector = f"{prediction}_features"
+    vector, rows = f"{prediction}_features", df.dropna(subset=[*features, target])
     forest = RandomForestRegressor(
         numTrees=trees, maxDepth=depth, seed=seed, featuresCol=vector, labelCol=target, predictionCol=prediction
     )
-    stages = [VectorAssembler(inputCols=features, outputCol=vector, handleInvalid="keep"), forest]
-    return Pipeline(stages=stages).fit(df.dropna(subset=[*features, target]))
+    assembler = VectorAssembler(inputCols=features, outputCol=vector, handleInvalid="keep")
+    return fit_on_vectors([assembler], forest, rows, [vector, target])
 
 
 def apply_model(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:

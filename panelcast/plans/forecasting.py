@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.present import describe_label, fixed_decimals
-from panelcast.operators.autoreg import all_lags, forecast, forecast_drivers
+from panelcast.operators.autoreg import forecast_drivers, forecast_selected
 from panelcast.operators.combine import stack
 from panelcast.operators.frames import carry_forward, last_rows
 from panelcast.operators.resample import trailing_profile
@@ -66,7 +66,7 @@ def forecast_days(
 ) -> DataFrame:
     """Mean, class, maximum and minimum of the coming days, typed."""
     model = bundle.tables["forecaster"]
-    means = forecast(history, model, features.keys, features.mean, all_lags(), horizon, day=features.day)
+    means = forecast_selected(history, model, features.keys, features.mean, horizon, day=features.day)
     future = future_rows(history, means, features, horizon, drivers)
     rows = future_features(history, future, features).withColumn("mean_forecast", F.col(features.mean))
     rows = rows.fillna(0.0, subset=features.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.dates import SEASON_FLAGS
-from panelcast.operators.autoreg import all_lags, select_lags, with_lags
+from panelcast.operators.autoreg import fitted_selected, select_model
 from panelcast.operators.cluster import choose_k, fit_labels, score_candidates
 from panelcast.operators.forests import apply_keeping_gaps, fit_classifier, fit_regressor
 from panelcast.operators.frames import next_day
@@ -50,17 +50,6 @@ class Bundle:
         return isinstance(assembler, VectorAssembler) and len(assembler.getInputCols()) == len(centres[0])
 
 
-def fitted_mean(df: DataFrame, forecaster: DataFrame, spec: FeatureSpec, name: str = "mean_forecast") -> DataFrame:
-    """In-sample one-step values of the selected autoregression; the value itself where it has none."""
-    lags = all_lags()
-    rows = with_lags(df, spec.mean, lags, spec.keys, spec.day)
-    rows = rows.join(forecaster.select(*spec.keys, "coefficients"), spec.keys, "left")
-    value = F.element_at("coefficients", 1)
-    for i, k in enumerate(lags):
-        value = value + F.element_at("coefficients", 2 + i) * F.col(f"_lag_{k}")
-    return rows.withColumn(name, F.coalesce(value, F.col(spec.mean))).drop("coefficients", *[f"_lag_{k}" for k in lags])
-
-
 def stack_inputs(spec: TrainSpec) -> list[str]:
     """What the maximum and minimum regressors see: mean forecast, class, cloud and season."""
     return ["mean_forecast", "predicted_label", spec.cloud, *[f"season_{s}" for s in SEASON_FLAGS]]
@@ -102,13 +91,14 @@ def training_rows(
 ) -> DataFrame:
     """The feature table all fits of a bundle read, written once."""
     wanted = [c for c in dict.fromkeys(["mean_forecast", train.high, train.low, train.cloud]) if c not in features.columns]
-    rows = build_features(fitted_mean(daily, forecaster, features), features, wanted)
+    fitted = fitted_selected(daily, forecaster, features.keys, features.mean, day=features.day, name="mean_forecast")
+    rows = build_features(fitted, features, wanted)
     return materialise(spark, rows.dropna(), "features")
 
 
 def train_bundle(spark: SparkSession, daily: DataFrame, features: FeatureSpec, train: TrainSpec) -> Bundle:
     """Fit everything on all rows of a gap-filled daily panel."""
-    forecaster = materialise(spark, select_lags(daily, features.keys, features.mean, day=features.day), "forecaster")
+    forecaster = materialise(spark, select_model(daily, features.keys, features.mean, day=features.day), "forecaster")
     rows = training_rows(spark, daily, forecaster, features, train)
     columns = spark.createDataFrame([(i, c) for i, c in enumerate(features.columns)], "position int, name string")
     return Bundle(fit_models(rows, features, train), {"forecaster": forecaster, "columns": columns})

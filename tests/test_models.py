@@ -13,11 +13,14 @@ from panelcast.operators.autoreg import (
     all_lags,
     fit,
     fit_first_order,
+    fitted_selected,
     forecast,
     forecast_drivers,
     forecast_first_order,
+    forecast_selected,
     refit_each_day,
     select_lags,
+    select_model,
 )
 from panelcast.operators.cluster import choose_k, fit_labels, nearest_centre, score_candidates, silhouette
 from panelcast.operators.folds import backtest_first_order, folds_every, folds_last, folds_or_split
@@ -107,6 +110,31 @@ def test_recursive_forecast_equals_a_loop(panel, series):
         assert np.allclose([r.forecast for r in ahead if r.series_id == name], path[-7:], rtol=1e-9)
 
 
+def test_a_random_walk_is_differenced(spark, panel, series):
+    rng = np.random.default_rng(11)
+    walk = 50 + np.cumsum(rng.normal(size=DAYS))
+    rows = [("walk", START + timedelta(days=t), float(walk[t])) for t in range(DAYS)]
+    both = spark.createDataFrame(rows, "series_id string, day date, y double").unionByName(
+        panel.where(F.col("series_id") == "a").select("series_id", "day", "y")
+    )
+    model = select_model(both, ["series_id"], "y")
+    chosen = {r.series_id: r for r in model.collect()}
+    assert (chosen["walk"].d, chosen["a"].d) == (1, 0)
+    ahead = forecast_selected(both, model, ["series_id"], "y", 5).orderBy("step").collect()
+    fitted = {(r.series_id, r.day): (r.y, r.fitted) for r in fitted_selected(both, model, ["series_id"], "y").collect()}
+    for name, values in (("walk", np.diff(walk)), ("a", series["a"][0])):
+        beta, path = chosen[name].coefficients, list(values)
+        for _ in range(5):
+            path.append(beta[0] + sum(b * path[-k] for b, k in zip(beta[1:], all_lags(), strict=True)))
+        want = path[-5:] if name == "a" else walk[-1] + np.cumsum(path[-5:])
+        assert np.allclose([r.forecast for r in ahead if r.series_id == name], want, rtol=1e-9)
+        t = DAYS - 1
+        last = beta[0] + sum(b * values[-1 - k] for b, k in zip(beta[1:], all_lags(), strict=True))
+        value, got = fitted[(name, START + timedelta(days=t))]
+        assert math.isclose(got, last if name == "a" else walk[t - 1] + last, rel_tol=1e-9)
+        assert math.isclose(value, walk[t] if name == "walk" else values[t])
+
+
 def test_forecast_uses_the_drivers_of_each_step(panel, series):
     model = fit(panel, ["series_id"], "y", [1], ["x"])
     drivers = panel.select("series_id").distinct().select(

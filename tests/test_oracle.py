@@ -9,7 +9,7 @@ from panelcast.catalog import REGISTRY, SQL
 from tests.compare import connect, difference
 
 SMALL = "/root/testdata/sf0.001"
-QUICK = ["ar_select", "model_roundtrip"]
+QUICK = ["ar_select", "kmeans_fit"]
 
 
 @pytest.fixture(scope="module")
