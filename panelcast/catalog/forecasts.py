@@ -122,8 +122,9 @@ TWO = """sums AS (
 betas AS (
   SELECT *, (sbb * say - sab * sby) / (saa * sbb - sab * sab) AS ba, (saa * sby - sab * say) / (saa * sbb - sab * sab) AS bb
   FROM sums)
-SELECT series_id, n, round(my - ba * ma - bb * mb, 4) AS intercept, round(ba, 6) AS first, round(bb, 6) AS second,
-  round(n * (syy - ba * say - bb * sby), 2) AS rss FROM betas"""
+SELECT series_id, n, CASE WHEN n >= 5 THEN round(my - ba * ma - bb * mb, 4) END AS intercept,
+  CASE WHEN n >= 5 THEN round(ba, 6) END AS first, CASE WHEN n >= 5 THEN round(bb, 6) END AS second,
+  CASE WHEN n >= 5 THEN round(n * (syy - ba * say - bb * sby), 2) END AS rss FROM betas"""
 
 
 def two_terms(model: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ REGIONS = ["click", "error", "purchase", "signup"]
 @query(
     "join_regions_wide",
     f"""WITH {OBS}, daily AS (
-      SELECT series_id, CAST(ts AS DATE) AS day, round(avg(value), 4) AS value_mean, max(value) AS value_max
+      SELECT series_id, CAST(ts AS DATE) AS day, round(avg(value), 8) AS value_mean, max(value) AS value_max
       FROM obs GROUP BY 1, 2)
     SELECT c.series_id, {DAY.format('c.')}, c.value_mean, c.value_max, """
     + ", ".join(f"{k}.value_mean AS {k}_value_mean, {k}.value_max AS {k}_value_max" for k in REGIONS)
@@ -77,7 +77,7 @@ REGIONS = ["click", "error", "purchase", "signup"]
     + " WHERE c.series_id = 'view'",
 )
 def join_regions_wide(spark: SparkSession, sf: str) -> DataFrame:
-    days = daily(obs(spark, sf), {"value": ["mean", "max"]}).withColumn("value_mean", F.round("value_mean", 4))
+    days = daily(obs(spark, sf), {"value": ["mean", "max"]}).withColumn("value_mean", F.round("value_mean", 8))
     centre = days.where(F.col("series_id") == "view")
     regions = days.where(F.col("series_id") != "view")
     return widen_regions(centre, regions, REGIONS, ["value_mean", "value_max"]).withColumn("day", iso("day"))

@@ -32,7 +32,7 @@ DAY = "strftime(day, '%Y-%m-%d') AS day"
 
 @query(
     "daily_agg_map",
-    f"""WITH {OBS} SELECT series_id, strftime(ts, '%Y-%m-%d') AS day, round(avg(value), 4) AS value_mean,
+    f"""WITH {OBS} SELECT series_id, strftime(ts, '%Y-%m-%d') AS day, round(avg(value), 8) AS value_mean,
     min(value) AS value_min, max(value) AS value_max, round(sum(value), 2) AS amount_sum,
     arg_min(k, ts) AS direction_first, arg_max(k, ts) AS code_last FROM obs GROUP BY 1, 2""",
 )
@@ -40,7 +40,7 @@ def daily_agg_map(spark: SparkSession, sf: str) -> DataFrame:
     rows = obs(spark, sf).withColumns({"amount": F.col("value"), "direction": F.col("k"), "code": F.col("k")})
     spec = {"value": ["mean", "min", "max"], "amount": ["sum"], "direction": ["first"], "code": ["last"]}
     days = daily(rows, spec)
-    return days.withColumns({"day": iso("day"), "value_mean": r("value_mean"), "amount_sum": r("amount_sum", 2)})
+    return days.withColumns({"day": iso("day"), "value_mean": r("value_mean", 8), "amount_sum": r("amount_sum", 2)})
 
 
 @query(

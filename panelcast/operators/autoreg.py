@@ -334,7 +334,8 @@ def select_model(
     """Differencing by the unit-root test, then the lag set by AIC: the model table of `forecast_selected`."""
     orders = difference_order(df, keys, y, day)
     rows = differenced(df, orders, keys, y, day).drop("_previous", "d")
-    return select_lags(rows, keys, y, candidates, day).join(orders.select(*keys, "d"), keys, "left")
+    # a series too short for any lag set keeps its row, without coefficients
+    return orders.select(*keys, "d").join(select_lags(rows, keys, y, candidates, day), keys, "left").fillna(0, ["n"])
 
 
 def forecast_selected(

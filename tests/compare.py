@@ -46,8 +46,11 @@ def plain(value):
     return repr(value)
 
 
-def difference(spark, con, sf: str, key: str) -> tuple[str | None, int, float]:
-    """What differs (None if nothing), the row count and the seconds Spark took."""
+def difference(spark, con, sf: str, key: str, empty: bool = False) -> tuple[str | None, int, float]:
+    """What differs (None if nothing), the row count and the seconds Spark took.
+
+    `empty` allows a result without rows, as small tables may give.
+    """
     began = time.time()
     df = REGISTRY[key](spark, sf)
     columns = sorted(df.columns)
@@ -61,7 +64,7 @@ def difference(spark, con, sf: str, key: str) -> tuple[str | None, int, float]:
         return f"columns {columns} against {sorted(names)}", len(mine), took
     place = [names.index(c) for c in columns]
     other = [tuple(plain(row[i]) for i in place) for row in result.fetchall()]
-    if not other:
+    if not other and not empty:
         return "the SQL gives no rows", 0, took
     a, b = Counter(mine), Counter(other)
     if a != b:
