@@ -51,9 +51,9 @@ def with_calendar(df: DataFrame, day: str = "day") -> DataFrame:
     return df.withColumns(columns)
 
 
-def parse_local(text: Column, pattern: str = "yyyy-MM-dd'T'HH:mm") -> Column:
-    """Local timestamp without zone; unreadable text gives NULL."""
-    return F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
+def parse_local(text: Column) -> Column:
+    """ISO text as local timestamp without zone, untouched by the session's zone; unreadable text gives NULL."""
+    return text.try_cast("timestamp_ntz")
 
 
 def iso_minutes(ts: Column) -> Column:
