@@ -75,7 +75,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = secrets.scanned(docs, secrets.learned(secrets.samples(docs)))
     base = F.filter("found", lambda m: m["kind"] < 3)
-    counts = [F.size(F.filter("found", lambda m, k=k: m["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+
+    def many(kind: str) -> Column:
+        return F.size(F.filter("found", lambda m: m["kind"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
+    counts = [many(kind) for kind, _, _, _ in secrets.BASE]
     return found.select("doc_id", *counts, F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("found")).alias("spans"))
 
 

@@ -7,12 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import text_or_empty
+from panelcast.llm.common import stored, text_or_empty
 
 #: Fixed patterns of the base rules, with the group whose length counts and its least length.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+HEX = r"[0-9a-f]{16,}"  # a run of 16 or more: shorter runs would be dropped
 BASE = [("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16)]
 #: Strings the models judge, the letters they know, and the mean log-likelihood ratio of a step that makes a secret.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
@@ -24,33 +24,55 @@ SAMPLE = 2000
 KINDS = ["assign", "access", "hex", "markov"]
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """All matches from the left that do not overlap: array of start, end (code points) and the group's value.
+SPANS = "array<struct<start:int,end:int,value:string>>"
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """The same rows, computed once.
+
+    The optimizer would copy a column's expression into every place, even into a lambda that runs for each element, where
+    it is used; it does not reach through a generator, here of one row.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+def hits_of(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def placed(gaps: Column, hits: Column, values: Column) -> Column:
+    """The matches as array of start, end (code points) and value, from the texts between, in and of the group of them.
 
     split() gives what lies between the matches that regexp_extract_all() gives, so the
     positions are running sums of the lengths of both.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), values.alias("value"))
-    kind = "struct<at:int,found:array<struct<start:int,end:int,value:string>>>"
-    empty = F.from_json(F.lit('{"at":0,"found":[]}'), kind)
+    parts = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), values.alias("value"))
 
     def step(done: Column, part: Column) -> Column:
         start = done["at"] + F.length(part["gap"])
         end = start + F.coalesce(F.length(part["hit"]), F.lit(0))
         one = F.array(F.struct(start.alias("start"), end.alias("end"), part["value"].alias("value")))
-        found = F.when(part["hit"].isNull(), done["found"]).otherwise(F.concat(done["found"], one))
-        return F.struct(end.alias("at"), found.alias("found"))
+        return F.struct(end.alias("at"), F.when(part["hit"].isNull(), done["found"]).otherwise(F.concat(done["found"], one)).alias("found"))
+
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found")), step)["found"]
 
-    nothing = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,value:string>>")
-    return F.when(F.size(hits) > 0, F.aggregate(parts, empty, step)["found"]).otherwise(nothing)
 
+def with_base(rows: DataFrame) -> DataFrame:
+    """Adds the spans of each base rule, the matches that are long enough, to the texts."""
+    found = rows.select(
+        "*",
+        *[hits_of(F.col("text"), pattern).alias(f"{kind}_hits") for kind, pattern, _, _ in BASE],
+        hits_of(F.col("text"), ASSIGN, 2).alias("assign_values"),
+    )
+    found, nothing = _kept(found), F.array().cast(SPANS)
+
+    def spans_of(kind: str, pattern: str, group: int, least: int) -> Column:
+        hits, values = F.col(f"{kind}_hits"), F.col(f"{kind}_{'values' if group else 'hits'}")
+        some = F.exists(values, lambda v: F.length(v) >= least)
+        spans = F.filter(placed(F.split("text", pattern, -1), hits, values), lambda m: F.length(m["value"]) >= least)
+        return F.when(some, spans).otherwise(nothing).alias(kind)
 
-def base_spans(text: Column, kind: str) -> Column:
-    """The matches of one base rule that are long enough."""
-    _, pattern, group, least = next(rule for rule in BASE if rule[0] == kind)
-    return F.filter(matches(text, pattern, group), lambda m: F.length(m["value"]) >= least)
+    return _kept(found.select(*rows.columns, *[spans_of(*rule) for rule in BASE]))
 
 
 def samples(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
@@ -59,7 +81,7 @@ def samples(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
     Ordinary are the identifiers of their texts, once the base rules' matches are taken out; random are
     those matches' values, and digests of the doc_ids in the hexadecimal and the base-64 alphabet.
     """
-    drawn = docs.select("doc_id", text_or_empty().alias("text")).sort(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
+    drawn = stored(docs.select("doc_id", text_or_empty().alias("text")).sort(F.xxhash64("doc_id"), "doc_id", "text").limit(rows), "drawn")
     bare = F.col("text")
     for _, pattern, _, _ in BASE[:2]:
         bare = F.regexp_replace(bare, pattern, " ")
@@ -67,8 +89,8 @@ def samples(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
     ordinary = drawn.select(F.explode(F.regexp_extract_all(bare, F.lit("[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("value"), F.lit(False).alias("random"))
     digest = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256)
     made = drawn.select(F.explode(F.array(digest, F.base64(F.unhex(digest)))).alias("value"), F.lit(True).alias("random"))
-    values = [F.transform(base_spans(F.col("text"), kind), lambda m: m["value"]) for kind, _, _, _ in BASE]
-    seen = drawn.select(F.explode(F.concat(*values)).alias("value"), F.lit(True).alias("random"))
+    values = [F.transform(kind, lambda m: m["value"]) for kind, _, _, _ in BASE]
+    seen = with_base(drawn).select(F.explode(F.concat(*values)).alias("value"), F.lit(True).alias("random"))
     return ordinary.unionByName(made).unionByName(seen)
 
 
@@ -94,19 +116,18 @@ def learned(labelled: DataFrame) -> list[float]:
 def ratio(value: Column, model: list[float]) -> Column:
     """Mean log-likelihood ratio of the value's steps. The model is a constant array, read by place."""
     n = len(LETTERS)
-    table = F.from_json(F.lit("[" + ",".join(f"{x:.6f}" for x in model) + "]"), "array<double>")
-    places = [0] * 128
+    table = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
+    places = ["0"] * 128
     for k, ch in enumerate(LETTERS):
-        places[ord(ch)] = k
-    code = F.from_json(F.lit(str(places)), "array<int>")
-    start = F.from_json(F.lit('{"last":-1,"sum":0.0}'), "struct<last:int,sum:double>")
+        places[ord(ch)] = str(k)
+    code = F.split(F.lit(",".join(places)), ",").cast("array<int>")
 
     def step(done: Column, letter: Column) -> Column:
         now = F.get(code, F.ascii(letter))
         gain = F.when(done["last"] < 0, F.lit(0.0)).otherwise(F.get(table, done["last"] * n + now))
         return F.struct(now.alias("last"), (done["sum"] + gain).alias("sum"))
 
-    return F.aggregate(F.split(value, ""), start, step)["sum"] / (F.length(value) - 1)
+    return F.aggregate(F.split(value, ""), F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")), step)["sum"] / (F.length(value) - 1)
 
 
 def scanned(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
@@ -120,21 +141,23 @@ def scanned(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -
     start and kind; positions are code points, the end exclusive. A null text is empty and has no
     span. Repeated rows are scanned each. An empty table gives no rows. Other columns are not read.
     """
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
-    for kind, _, _, _ in BASE:
-        rows = rows.withColumn(f"{kind}_found", base_spans(F.col("text"), kind))
-    base = F.concat(*[F.col(f"{kind}_found") for kind, _, _, _ in BASE])
-    rows = rows.withColumn("base", F.transform(base, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))))
+    rows = with_base(docs.select("doc_id", text_or_empty().alias("text")))
+    base = F.concat(*[F.col(kind) for kind, _, _, _ in BASE])
+    rows = _kept(rows.select("*", base.alias("base"), hits_of(F.col("text"), CANDIDATE).alias("strings")))
+    some = F.exists("strings", lambda v: ratio(v, model) >= threshold)
+    spans = placed(F.split("text", CANDIDATE, -1), F.col("strings"), F.col("strings"))
+    rows = _kept(rows.select("*", F.when(some, spans).otherwise(F.array().cast(SPANS)).alias("judged")))
     likely = F.filter(
-        matches(F.col("text"), CANDIDATE),
-        lambda m: (ratio(m["value"], model) >= threshold) & ~F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])),
+        "judged",
+        lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])) & (ratio(m["value"], model) >= threshold),
     )
-    rows = rows.withColumn("markov_found", likely)
-    spans = [
-        F.transform(F.col(f"{kind}_found"), lambda m, k=place: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), m["end"].alias("end")))
-        for place, kind in enumerate(KINDS)
-    ]
-    return rows.select("doc_id", F.array_sort(F.concat(*spans)).alias("found"))
+    rows = _kept(rows.select("doc_id", *[kind for kind, _, _, _ in BASE], likely.alias("markov")))
+
+    def named(kind: str) -> Column:
+        return F.transform(kind, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end")))
+
+    spans = [named(kind) for kind in KINDS]
+    return _kept(rows.select("doc_id", F.array_sort(F.concat(*spans)).alias("found")))
 
 
 def written(found: Column) -> Column:
