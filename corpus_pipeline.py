@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelcast.llm import language, lines, mixing, near, packing
-from panelcast.llm.common import stored
+from panelcast.llm.common import sieved, stored
 from panelcast.llm.queries import WEIGHTS, documents, domain_of
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -46,20 +46,23 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document without words is in no group and stays.
     """
-    groups = near.near_groups(docs)
-    chosen = groups.filter("kept").select(F.col("doc_id").alias("id"), "n_shingles").distinct()
-    named = docs.select("doc_id", F.col("text").alias("body"), _row(docs).alias("input"))
-    words = F.coalesce(F.col("body").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    joined = named.join(chosen.select("id").distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").withColumn("words", words)
-    first = F.row_number().over(Window.partitionBy("doc_id", "words").orderBy(F.col("body")))
-    kept = joined.withColumn("turn", first).filter(~F.col("words") | (F.col("turn") == 1))
+    groups = stored(near.near_groups(docs), "groups")
+    ids = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
+    unsure = stored(ids.filter("n > 1 or not kept"), "unsure")
+    some, sure = sieved(docs.select("doc_id", _row(docs).alias("input")), "doc_id", unsure)
+    joined = some.join(unsure.select(F.col("doc_id").alias("id"), "n", "kept"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    words = F.coalesce(F.col("input.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    joined = joined.filter(F.coalesce("kept", F.lit(True))).withColumn("words", words)
+    first = F.row_number().over(Window.partitionBy("doc_id", "words").orderBy(F.col("input.text")))
+    kept = joined.withColumn("turn", first).filter(~F.col("words") | (F.col("turn") == 1)).select("input").unionByName(sure.select("input"))
     return kept.select(*[F.col("input")[c].alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the target weights select, once for each epoch; the last of a leaf may be cut at a word's end."""
-    keyed = stored(docs.select(F.monotonically_increasing_id().alias("row"), *[F.col(c) for c in ("text", "lang", "source")], _row(docs).alias("input")), "mix")
-    chosen = mixing.mixed(keyed, key="row", domain=domain_of(F.col("source")), weights=WEIGHTS).select("row", "n_tokens", "taken")
+    keyed = stored(docs.select(F.monotonically_increasing_id().alias("row"), _row(docs).alias("input")), "mix")
+    fields = keyed.select("row", *[F.col("input")[c].alias(c) for c in ("text", "lang", "source")])
+    chosen = mixing.mixed(fields, key="row", domain=domain_of(F.col("source")), weights=WEIGHTS).select("row", "n_tokens", "taken")
     joined = keyed.join(chosen, "row")
     whole = F.col("taken") >= F.col("n_tokens")
     text = F.when(whole, F.col("input")["text"]).otherwise(mixing.cut_to(F.col("input")["text"], F.col("taken")))

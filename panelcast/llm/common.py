@@ -30,12 +30,31 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    """Equality on the names, null equal to null."""
-    condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
+#: Bits of a sieve: 1 MB, whatever the number of keys.
+SIEVE_BITS = 1 << 23
+
+
+def sieved(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Splits the rows into those whose key may be among the wanted ones, and those whose key is surely not.
+
+    Hashes of the wanted keys set bits of a bitmap of fixed size, so what is broadcast is bounded. Rows
+    whose bit is not set need no join and no shuffle. The more keys are wanted, the more other rows
+    come with the first part; a join decides about them, so the result is the same at every size.
+    """
+
+    def place(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS)).cast("long")
+
+    bits = (
+        wanted.select(place(F.col(key)).alias("h"))
+        .groupBy(F.bitmap_bucket_number("h").alias("_bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
+    )
+    at = F.bitmap_bit_position(place(F.col(key)))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    marked = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place(F.col(key))) == F.col("_bucket"), "left").withColumn("_maybe", maybe)
+    return marked.filter("_maybe").select(*rows.columns), marked.filter("not _maybe").select(*rows.columns)
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str], value: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelcast.llm.common import WORD, stored, text_or_empty
+from panelcast.llm.common import WORD, sieved, stored, text_or_empty
 
 #: Words that a repeated run of lines has at least.
 LEAST_WORDS = 20
@@ -118,11 +118,15 @@ def without_copies(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     rows all but one lose their runs. A null doc_id comes before all others. An empty table gives no rows. Other
     columns are handed on unread, whatever their names.
     """
-    keyed = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("input")), "keyed")
-    runs = repeated_runs(keyed.filter("text is not null").select("row", "doc_id", "text"), least)
+    keyed = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("input")), "keyed")
+    texts = keyed.select("row", F.col("input.doc_id").alias("doc_id"), F.col("input.text").alias("text"))
+    runs = stored(repeated_runs(texts.filter("text is not null"), least), "runs")
     sorted_runs = F.array_sort(F.collect_list(F.struct("start", "stop")))
     per_doc = runs.groupBy("row").agg(sorted_runs.alias("runs"))
-    joined = keyed.join(per_doc, "row", "left")
+    touched, whole = sieved(keyed, "row", runs)
+    hit = touched.join(per_doc, "row", "left")
+    none = F.lit(None).cast(per_doc.schema["runs"].dataType)
+    joined = hit.unionByName(whole.withColumn("runs", none)).withColumn("text", F.col("input.text"))
     lines = F.split("text", "\n")
     spare = F.transform(
         F.sequence(F.lit(0), F.size("runs")),
@@ -137,7 +141,7 @@ def without_copies(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     gone = F.aggregate(F.col("runs"), F.lit(0), lambda n, r: n + r["stop"] - r["start"])
     return with_lines.select(
         "input",
-        "doc_id",
+        F.col("input.doc_id").alias("doc_id"),
         cut.alias("text"),
         F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"),
         F.coalesce(gone, F.lit(0)).alias("removed_lines"),

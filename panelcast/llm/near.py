@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import minhash, words
-from panelcast.llm.common import numbered, stored
+from panelcast.llm.common import numbered, sieved, stored
 from panelcast.llm.graph import components
 
 #: Least similarity in hundredths.
@@ -28,30 +28,31 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
 
 
 def signed(docs: DataFrame, bands: int = minhash.BANDS, width: int = minhash.WIDTH) -> DataFrame:
-    """doc_id, n_shingles, name (of the shingle set) and keys (one for each band) of every row."""
+    """doc_id, text_hash, n_shingles, name (of the shingle set) and keys (one for each band) of every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, shingles, begins in _sets(batch.column(1)):
+            for first, last, shingles, begins in _sets(batch.column(2)):
                 keys = minhash.band_keys(minhash.signatures(shingles, begins, bands * width), bands, width).view(np.int64)
                 names = [minhash.identity(shingles[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True)]
                 offsets = pa.array(np.arange(last - first + 1, dtype=np.int32) * bands)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, last - first),
+                        batch.column(1).slice(first, last - first),
                         pa.array(np.diff(begins)),
                         pa.array(names, pa.binary()),
                         pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
                     ],
-                    names=["doc_id", "n_shingles", "name", "keys"],
+                    names=["doc_id", "text_hash", "n_shingles", "name", "keys"],
                 )
 
-    rows = docs.select("doc_id", F.col("text").alias("body"))
-    return rows.mapInArrow(sign, f"doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, name binary, keys array<long>")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").alias("body"))
+    return rows.mapInArrow(sign, f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, n_shingles long, name binary, keys array<long>")
 
 
-def _shingled(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and its shingle set, from the texts of the nodes' documents."""
+def _shingled(docs: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
+    """node and its shingle set, from the text of one row of each node; `repeated`: rows may have the same doc_id."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,23 +63,24 @@ def _shingled(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 part = pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists], names=["node", "shingles"])
                 yield part.filter(pa.array(own, pa.bool_()))
 
-    texts = docs.select("doc_id", F.col("text").alias("body"))
-    rows = texts.join(nodes.select("doc_id", "node", "name"), "doc_id").select("node", "name", "body")
-    found = rows.mapInArrow(shingle, "node long, shingles array<long>")
-    return found
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), F.col("text").alias("body"))
+    texts, _ = sieved(texts, "text_hash", nodes)
+    same = F.col("id").eqNullSafe(F.col("row.doc_id")) & (F.col("text_hash") == F.col("row.text_hash"))
+    rows = texts.join(nodes.select("node", "name", "row"), same).select("node", "name", "body")
+    rows = rows.dropDuplicates(["node"]) if repeated else rows
+    return rows.mapInArrow(shingle, "node long, shingles array<long>")
 
 
 def _similar(both: Column, one: Column, other: Column, similarity: int) -> Column:
     return 100 * both >= similarity * (one + other - both)
 
 
-def _leader_links(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Links between each member of a bucket and the bucket's first member: one comparison for each, not one for each pair."""
-    pairs = members.filter("node <> leader").select("node", "leader").distinct()
+def _leader_links(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Those of the pairs of a member and the first member of its bucket that are links."""
     size = F.size("shingles").cast("long")
     one = sets.select("node", F.col("shingles").alias("mine"), size.alias("m"))
     other = sets.select(F.col("node").alias("leader"), F.col("shingles").alias("theirs"), size.alias("t"))
-    close = (100 * F.least("m", "t") >= similarity * F.greatest("m", "t")) & _similar(F.size(F.array_intersect("mine", "theirs")), F.col("m"), F.col("t"), similarity)
+    close = _similar(F.size(F.array_intersect("mine", "theirs")), F.col("m"), F.col("t"), similarity)
     return pairs.join(one, "node").join(other, "leader").filter(close).select(F.col("leader").alias("a"), F.col("node").alias("b"))
 
 
@@ -120,17 +122,20 @@ def _block_links(members: DataFrame, sets: DataFrame, similarity: int) -> DataFr
     """All links between members of a bucket that still have different labels.
 
     A bucket is cut into blocks of about BLOCK shingles, and each pair of its blocks is one row of work that
-    any task can take; only links leave the task, never the pairs that were compared.
+    any task can take; only links leave the task, never the pairs that were compared. Most buckets are one block.
     """
     cut = numbered(members.withColumn("cost", F.col("n_shingles") + SET), ["key"], ["node"], "cost")
-    placed = cut.select("key", "node", "label", F.floor(F.col("_before") / BLOCK).cast("long").alias("block"))
-    blocks = stored(
-        placed.join(sets, "node").groupBy("key", "block").agg(F.collect_list(F.struct("node", "label", "shingles")).alias("items")), "blocks"
-    )
-    last = blocks.groupBy("key").agg(F.max("block").alias("last"))
-    work = (
-        blocks.select("key", "block").join(last, "key").select("key", "block", F.explode(F.sequence("block", "last")).alias("other"))
-    )
+    placed = stored(cut.select("key", "node", "label", F.floor(F.col("_before") / BLOCK).cast("long").alias("block")), "placed")
+    last = placed.groupBy("key").agg(F.max("block").alias("last"))
+    many = last.filter("last > 0")
+
+    def filled(rows: DataFrame) -> DataFrame:
+        return rows.join(sets, "node").groupBy("key", "block").agg(F.collect_list(F.struct("node", "label", "shingles")).alias("items"))
+
+    alone = filled(placed.join(many, "key", "left_anti"))
+    single = alone.select("items", F.lit(None).cast(alone.schema["items"].dataType).alias("others"))
+    blocks = stored(filled(placed.join(many, "key", "left_semi")), "blocks")
+    work = blocks.select("key", "block").join(many, "key").select("key", "block", F.explode(F.sequence("block", "last")).alias("other"))
     other = blocks.select(F.col("key").alias("k"), F.col("block").alias("b"), F.col("items").alias("others"))
     pairs = work.join(blocks, ["key", "block"]).join(
         other, (F.col("key") == F.col("k")) & (F.col("other") == F.col("b")) & (F.col("other") != F.col("block")), "left"
@@ -150,7 +155,7 @@ def _block_links(members: DataFrame, sets: DataFrame, similarity: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     dealt = pairs.select("items", "others", "key", "block", "other").repartition("key", "block", "other").select("items", "others")
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.unionByName(single).mapInArrow(compare, "a long, b long")
 
 
 def near_groups(docs: DataFrame, similarity: int = SIMILARITY, bands: int = minhash.BANDS, width: int = minhash.WIDTH) -> DataFrame:
@@ -162,8 +167,8 @@ def near_groups(docs: DataFrame, similarity: int = SIMILARITY, bands: int = minh
     1. Every text is signed; rows with the same set become one node, combined on the map side.
     2. Nodes that share a band key are a bucket. Each member is compared with the bucket's first member, exactly, on
        full sets: n - 1 comparisons for n members. Verified links make first components.
-    3. A bucket whose members are all in one component needs no more: a link in it could not change
-       any component. In the others, members of different components are compared exactly, in blocks.
+    3. A bucket whose other members are all in one component needs no more: a link among them could not change
+       any component. In the rest, members of different components are compared exactly, in blocks.
     4. Components of all links.
 
     So no bucket is cut or left out, and links within a component are not listed. Bands of `width` coordinates
@@ -179,21 +184,28 @@ def near_groups(docs: DataFrame, similarity: int = SIMILARITY, bands: int = minh
     rows = stored(signed(docs, bands, width), "signed")
     full = rows.filter("n_shingles > 0")
     nodes = stored(
-        full.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")).withColumn(
+        full.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")).withColumn(
             "node", F.monotonically_increasing_id()
         ),
         "nodes",
     )
-    banded = nodes.select("node", "n_shingles", F.explode("keys").alias("key"))
+    repeated = not full.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    nodes = nodes.withColumn("text_hash", F.col("row.text_hash"))
+    banded = nodes.select("node", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
     members = stored(banded.join(buckets, "key"), "members")
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").filter("doc_id is not null")
-    sets = stored(_shingled(docs, wanted), "sets")
-    first = stored(_leader_links(members, sets, similarity), "links")
+    sizes = nodes.select("node", "n_shingles")
+    pairs = members.filter("node <> leader").select("node", "leader").distinct()
+    pairs = pairs.join(sizes, "node").join(sizes.select(F.col("node").alias("leader"), F.col("n_shingles").alias("l")), "leader")
+    pairs = stored(pairs.filter(100 * F.least("n_shingles", "l") >= similarity * F.greatest("n_shingles", "l")).select("node", "leader"), "pairs")
+    paired = pairs.select(F.explode(F.array("node", "leader")).alias("node")).distinct()
+    first = stored(_leader_links(pairs, stored(_shingled(docs, nodes.join(paired, "node", "left_semi"), repeated), "sets"), similarity), "links")
     labels = components(first)
-    labelled = members.join(labels, "node", "left").select("key", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
+    labelled = members.filter("node <> leader").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     split = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    rest = stored(_block_links(labelled.join(split, "key", "left_semi"), sets, similarity), "links")
+    open_members = stored(labelled.join(split, "key", "left_semi").join(sizes, "node"), "open")
+    sets = stored(_shingled(docs, nodes.join(open_members.select("node").distinct(), "node", "left_semi"), repeated), "sets")
+    rest = stored(_block_links(open_members, sets, similarity), "links")
     if not rest.isEmpty():
         known = labels.filter("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
         labels = components(known.unionByName(rest.distinct()))
