@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelcast.llm.common import WORD, sieved, stored, text_or_empty
+from panelcast.llm.common import WORD, sieved, stored, text_or_empty, word_count
 
 #: Words that a repeated run of lines has at least.
 LEAST_WORDS = 20
@@ -107,6 +107,25 @@ def _later(units: DataFrame, array: DataFrame, width: int) -> DataFrame:
     return later.select(F.col("place.row").alias("row"), F.col("place.first").alias("start"), (F.col("place.first") + F.col("length")).cast("int").alias("stop"))
 
 
+def _distinct(docs: DataFrame) -> DataFrame:
+    """Each different row once: row (a 128-bit name of all its columns), input (the columns) and copies.
+
+    The name stays the same however often the documents are read, so no numbered copy of the texts is
+    written. Only rows whose name may be repeated are shuffled.
+    """
+    fields = [F.to_json(F.struct(docs[f.name])) if "map<" in f.dataType.simpleString() else docs[f.name] for f in docs.schema.fields]
+    halves = [F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(*fields), F.xxhash64(F.lit("row"), *fields))]
+    named = docs.select(F.unhex(F.concat(*halves)).alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("input"))
+    repeats = stored(named.groupBy("row").agg(F.count("*").alias("copies")).filter("copies > 1"), "repeats")
+    if repeats.isEmpty():
+        return named.withColumn("copies", F.lit(1).cast("long"))
+    some, sure = sieved(named, "row", repeats)
+    some = some.join(repeats, "row", "left")
+    once = some.filter("copies is null").withColumn("copies", F.lit(1).cast("long"))
+    many = some.filter("copies is not null").groupBy("row").agg(F.first("input").alias("input"), F.first("copies").alias("copies"))
+    return sure.withColumn("copies", F.lit(1).cast("long")).unionByName(once).unionByName(many)
+
+
 def without_copies(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """Deletes every later copy of a run of lines that has `least` words or more.
 
@@ -118,7 +137,7 @@ def without_copies(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     rows all but one lose their runs. A null doc_id comes before all others. An empty table gives no rows. Other
     columns are handed on unread, whatever their names.
     """
-    keyed = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("input")), "keyed")
+    keyed = _distinct(docs)
     texts = keyed.select("row", F.col("input.doc_id").alias("doc_id"), F.col("input.text").alias("text"))
     runs = stored(repeated_runs(texts.filter("text is not null"), least), "runs")
     sorted_runs = F.array_sort(F.collect_list(F.struct("start", "stop")))
@@ -139,11 +158,21 @@ def without_copies(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     with_lines = joined.withColumn("lines", lines)
     cut = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(spare), "\n"))
     gone = F.aggregate(F.col("runs"), F.lit(0), lambda n, r: n + r["stop"] - r["start"])
-    return with_lines.select(
+    done = with_lines.select(
         "input",
         F.col("input.doc_id").alias("doc_id"),
         cut.alias("text"),
         F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"),
         F.coalesce(gone, F.lit(0)).alias("removed_lines"),
         F.coalesce(F.array_join(F.transform("runs", lambda r: F.concat_ws("-", r["start"], r["stop"])), ","), F.lit("")).alias("removed"),
+        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
+    )
+    again = (F.col("copy") > 1) & F.coalesce(word_count(F.col("input.text")) >= least, F.lit(False))
+    return done.select(
+        "input",
+        "doc_id",
+        F.when(again, "").otherwise(F.col("text")).alias("text"),
+        "n_lines",
+        F.when(again, F.col("n_lines")).otherwise(F.col("removed_lines")).alias("removed_lines"),
+        F.when(again, F.concat_ws("-", F.lit(0), "n_lines")).otherwise(F.col("removed")).alias("removed"),
     )

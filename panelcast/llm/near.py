@@ -118,11 +118,31 @@ def _overlaps(a: np.ndarray, a_set: np.ndarray, n: int, b: np.ndarray, b_set: np
     return total
 
 
+def _spanning(one: tuple, two: tuple, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links found, only those that join labels which the links ahead of them have not joined: under one for each label."""
+    pairs, first = np.unique(np.stack([one[1][x], two[1][y]], 1), axis=0, return_index=True)
+    above: dict[int, int] = {}
+
+    def root(label: int) -> int:
+        while label in above:
+            label = above[label]
+        return label
+
+    kept = []
+    for (p, q), at in zip(pairs.tolist(), first.tolist(), strict=True):
+        p, q = root(p), root(q)
+        if p != q:
+            above[max(p, q)] = min(p, q)
+            kept.append(at)
+    return one[0][x[kept]], two[0][y[kept]]
+
+
 def _block_links(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """All links between members of a bucket that still have different labels.
+    """Links between members of a bucket that still have different labels.
 
     A bucket is cut into blocks of about BLOCK shingles, and each pair of its blocks is one row of work that
-    any task can take; only links leave the task, never the pairs that were compared. Most buckets are one block.
+    any task can take. What leaves the task are not the pairs but links that connect the same labels as all
+    links of the two blocks do, under one for each label. Most buckets are one block.
     """
     cut = numbered(members.withColumn("cost", F.col("n_shingles") + SET), ["key"], ["node"], "cost")
     placed = stored(cut.select("key", "node", "label", F.floor(F.col("_before") / BLOCK).cast("long").alias("block")), "placed")
@@ -150,8 +170,7 @@ def _block_links(members: DataFrame, sets: DataFrame, similarity: int) -> DataFr
                 n, m = np.bincount(one[3], minlength=len(one[0])), np.bincount(two[3], minlength=len(two[0]))
                 close = 100 * both.astype(np.int64) >= similarity * (n[:, None] + m[None, :] - both.astype(np.int64))
                 close &= one[1][:, None] != two[1][None, :]
-                x, y = np.nonzero(close)
-                a, b = one[0][x], two[0][y]
+                a, b = _spanning(one, two, *np.nonzero(close))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     dealt = pairs.select("items", "others", "key", "block", "other").repartition("key", "block", "other").select("items", "others")
