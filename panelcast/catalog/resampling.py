@@ -138,12 +138,12 @@ def offsets_of_year(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "trailing_profile",
     f"""WITH {PANEL}, ends AS (SELECT series_id, max(day) AS last_day FROM panel GROUP BY 1)
-    SELECT series_id, round(avg(y), 6) AS y, round(avg(y_max), 6) AS y_max, round(avg(n), 6) AS n
+    SELECT series_id, round(avg(y), 8) AS y, round(avg(y_max), 8) AS y_max, round(avg(n), 8) AS n
     FROM panel JOIN ends USING (series_id) WHERE day >= last_day - 30 GROUP BY 1""",
 )
 def profile_of_month(spark: SparkSession, sf: str) -> DataFrame:
     columns = ["y", "y_max", "n"]
-    return rounded(trailing_profile(panel(spark, sf), ["series_id"], columns), columns, 6)
+    return rounded(trailing_profile(panel(spark, sf), ["series_id"], columns), columns, 8)
 
 
 @query(

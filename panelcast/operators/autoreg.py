@@ -293,7 +293,11 @@ def refit_each_day(
 
 
 def dickey_fuller(df: DataFrame, keys: list[str], y: str, day: str = "day") -> DataFrame:
-    """t statistic of the Dickey-Fuller regression: the daily change on the previous value."""
+    """t statistic of the Dickey-Fuller regression: the daily change on the previous value.
+
+    NULL where the regression leaves no error or has no spread (a straight, constant or strictly
+    alternating series, or one of too few days): nothing is tested there.
+    """
     pairs = with_lags(df, y, [1], keys, day).withColumn("_change", F.col(y) - F.col("_lag_1"))
     sums = pairs.groupBy(*keys).agg(
         F.regr_count("_change", "_lag_1").alias("n"),
@@ -302,9 +306,11 @@ def dickey_fuller(df: DataFrame, keys: list[str], y: str, day: str = "day") -> D
         F.regr_syy("_change", "_lag_1").alias("_syy"),
         F.regr_sxy("_change", "_lag_1").alias("_sxy"),
     )
-    residual = F.col("_syy") - F.col("slope") * F.col("_sxy")
-    error = F.sqrt(residual / (F.col("n") - 2) / F.col("_sxx"))
-    return sums.select(*keys, "n", "slope", F.when(F.col("n") > 2, F.col("slope") / error).alias("t_value"))
+    # what is left of the spread after the regression; below this share it is rounding
+    residual = F.greatest(F.col("_syy") - F.col("slope") * F.col("_sxy"), F.lit(0.0))
+    residual = F.when(residual > F.col("_syy") * 1e-12, residual)
+    error = F.sqrt(F.try_divide(F.try_divide(residual, F.col("n") - 2), F.col("_sxx")))
+    return sums.select(*keys, "n", "slope", F.when(F.col("n") > 2, F.try_divide("slope", error)).alias("t_value"))
 
 
 def seasonal_naive(df: DataFrame, keys: list[str], y: str, day: str = "day", season: int = SEASON) -> DataFrame:

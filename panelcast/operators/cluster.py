@@ -79,8 +79,10 @@ def silhouette(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
     The mean distance of a point to a cluster follows from the cluster's count,
     sum and sum of squares, so no pair of points is ever formed. A cluster of
-    one point scores 0.
+    one point scores 0, as does a point as far from its own cluster as from the nearest
+    other one. Rows without a label or with a missing feature are not scored.
     """
+    df = df.dropna(subset=[label, *features])
     sums = (
         df.groupBy(label)
         .agg(
@@ -101,5 +103,5 @@ def silhouette(df: DataFrame, features: list[str], label: str) -> DataFrame:
         others.append(F.when(~is_own, mean_distance))
     nearest = F.array_min(F.array(*others)) if others else F.lit(None).cast("double")
     scored = df.select(own.alias("a"), nearest.alias("b"))
-    value = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    value = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     return scored.agg(F.avg(value).alias("silhouette"))

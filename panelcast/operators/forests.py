@@ -39,7 +39,7 @@ def fit_classifier(
     features: list[str],
     label: str,
     trees: int = 100,
-    depth: int = 10,
+    depth: int = 30,
     seed: int = 42,
     prediction: str = "predicted_label",
 ) -> PipelineModel:

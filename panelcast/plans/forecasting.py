@@ -13,8 +13,8 @@ from panelcast.operators.resample import trailing_profile
 from panelcast.plans.features import FeatureSpec, build_features
 from panelcast.plans.training import Bundle, TrainSpec, or_spread, train_if_missing, with_high_low
 
-# Days of history kept before the forecast days (longest lag plus two weeks).
-HISTORY_DAYS = 44
+# Days of history kept beyond the longest lag or window.
+SPARE_DAYS = 14
 
 
 def future_rows(
@@ -45,12 +45,13 @@ def future_rows(
     return rows.select(*keys, *spec.base)
 
 
-def future_features(history: DataFrame, future: DataFrame, spec: FeatureSpec, depth: int = HISTORY_DAYS) -> DataFrame:
+def future_features(history: DataFrame, future: DataFrame, spec: FeatureSpec) -> DataFrame:
     """Features of the forecast days, by the same function as for history.
 
     Features never depend on a predicted class, maximum or minimum, so all days
     of the horizon are computed together instead of appended one by one.
     """
+    depth = max([*spec.lags, *spec.windows, 1]) + SPARE_DAYS
     recent = last_rows(history, depth, spec.keys, spec.day).select(*spec.keys, spec.day, *spec.base)
     joined = stack(recent.withColumn("step", F.lit(0)), future)
     return build_features(joined, spec, ["step"]).where(F.col("step") > 0)
@@ -79,7 +80,7 @@ def forecast_days(
         mean.alias("mean"),
         or_spread(F.col("predicted_maximum"), mean, 3.0).alias("maximum"),
         or_spread(F.col("predicted_minimum"), mean, -3.0).alias("minimum"),
-        F.coalesce(F.col("predicted_label"), F.lit(0)).cast("int").alias("label"),
+        F.col("predicted_label").cast("int").alias("label"),
     ).withColumn("condition", describe_label(F.col("label")))
 
 

@@ -30,7 +30,7 @@ class TrainSpec:
     k: int | None = 7
     label_lead: int = 0
     trees: int = 100
-    depth: int = 10
+    depth: int = 30
     high_low_depth: int = 10
     seed: int = 42
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from panelcast.operators.dedupe import first_per_key
+from panelcast.sources.bundles import absent
 from panelcast.sources.tables import in_range, like_prefix
 
 
@@ -68,11 +69,18 @@ def append_if_absent(
     ts: str = "ts",
     drop: list[str] | None = None,
 ) -> None:
-    """First write wins on a Parquet table with `year` and `month` folders; one writer at a time."""
-    rows = nan_to_null(batch)
+    """First write wins on a Parquet table with `year` and `month` folders; one writer at a time.
+
+    Keys are NOT NULL: rows that lack one are rejected, as no later run could recognise them.
+    A table that exists but cannot be read is an error, never taken for an absent one.
+    """
+    rows = nan_to_null(batch).dropna(subset=keys)
     try:
         target = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        # a folder of which every file is empty has no schema to infer
+        if not absent(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+            raise
         target = None
     if target is None:
         rows = first_per_key(rows, keys, order)
@@ -93,7 +101,8 @@ def without_month(df: DataFrame, ts: str, prefix: str) -> DataFrame:
 
 
 def rewrite_without_month(spark: SparkSession, source: str, target: str, ts: str, prefix: str) -> None:
-    without_month(spark.read.parquet(source), ts, prefix).write.mode("overwrite").parquet(target)
+    """Writes what the delete leaves to another folder, laid out by year and month like its source."""
+    write_partitioned(without_month(spark.read.parquet(source), ts, prefix), target, ts, "overwrite")
 
 
 def write_csv(df: DataFrame, folder: str, stem: str, year: date | int) -> str:

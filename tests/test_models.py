@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast.operators.autoreg import (
+    dickey_fuller,
     LAG_SETS,
     all_lags,
     fit,
@@ -353,3 +354,21 @@ def test_label_of_the_next_day(spark):
     df = spark.createDataFrame([("a", START + timedelta(days=i), i) for i in range(3)], "series_id string, day date, label int")
     got = next_day(df, {"label": "label"}, ["series_id"]).orderBy("day").collect()
     assert [r.label for r in got] == [1, 2, None]
+
+
+def test_unit_root_test_survives_exact_series(spark):
+    shapes = {"straight": lambda i: 2.0 * i, "constant": lambda i: 5.0, "alternating": lambda i: float(i % 2), "short": lambda i: float(i * i)}
+    rows = [(k, date(2024, 1, 1) + timedelta(days=i), f(i)) for k, f in shapes.items() for i in range(3 if k == "short" else 40)]
+    panel = spark.createDataFrame(rows, "series_id string, day date, y double")
+    found = {r.series_id: r.t_value for r in dickey_fuller(panel, ["series_id"], "y").collect()}
+    assert found == dict.fromkeys(shapes)
+    assert select_model(panel, ["series_id"], "y").count() == len(shapes)
+
+
+def test_silhouette_of_awkward_labellings(spark):
+    schema = "x double, label int"
+    same = spark.createDataFrame([(1.0, 0), (1.0, 0), (1.0, 1), (1.0, 1)], schema)
+    assert silhouette(same, ["x"], "label").first()[0] == 0.0
+    apart = [(0.0, 0), (0.0, 0), (9.0, 1), (9.0, 1)]
+    gaps = spark.createDataFrame([*apart, (5.0, None), (7.0, None), (None, 0)], schema)
+    assert silhouette(gaps, ["x"], "label").first()[0] == 1.0

@@ -187,6 +187,22 @@ def test_months_are_folders_and_can_be_left_out(spark, hourly):
     assert left.count() == hourly.count() - gone
 
 
+def test_delete_then_insert_keeps_every_row_readable(spark, hourly):
+    path, kept = fresh_path(spark, "test-before"), fresh_path(spark, "test-after")
+    write_partitioned(hourly, path)
+    rewrite_without_month(spark, path, kept, "ts", "2021-01-%")
+    append_if_absent(spark, hourly, kept, ["series_id", "ts"], ["temperature"])
+    assert spark.read.parquet(kept).count() == hourly.count()
+
+
+def test_rows_without_a_key_are_rejected(spark, hourly):
+    path, keys = fresh_path(spark, "test-null-key"), ["series_id", "ts"]
+    some = hourly.limit(5).withColumn("series_id", F.lit(None).cast("string")).unionByName(hourly.limit(5))
+    for _ in range(2):
+        append_if_absent(spark, some, path, keys, ["temperature"])
+    assert spark.read.parquet(path).count() == 5
+
+
 def test_csv_path_names_the_year(spark, hourly):
     path = write_csv(hourly.limit(3), fresh_path(spark, "test-csv"), "historical", date(2025, 1, 1))
     assert path.endswith("historical_2025_results.csv")
