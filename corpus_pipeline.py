@@ -59,10 +59,13 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the target weights select, once for each epoch; the last of a leaf may be cut at a word's end."""
+    """The documents that the target weights select, once for each epoch; the last of a leaf may be cut at a word's end.
+
+    The order of an epoch follows from doc_id, so the same documents are selected however the table is laid out.
+    """
     keyed = stored(docs.select(F.monotonically_increasing_id().alias("row"), _row(docs).alias("input")), "mix")
-    fields = keyed.select("row", *[F.col("input")[c].alias(c) for c in ("text", "lang", "source")])
-    chosen = mixing.mixed(fields, key="row", domain=domain_of(F.col("source")), weights=WEIGHTS).select("row", "n_tokens", "taken")
+    fields = keyed.select("row", *[F.col("input")[c].alias(c) for c in ("doc_id", "text", "lang", "source")])
+    chosen = mixing.mixed(fields, key="row", order="doc_id", domain=domain_of(F.col("source")), weights=WEIGHTS).select("row", "n_tokens", "taken")
     joined = keyed.join(chosen, "row")
     whole = F.col("taken") >= F.col("n_tokens")
     text = F.when(whole, F.col("input")["text"]).otherwise(mixing.cut_to(F.col("input")["text"], F.col("taken")))

@@ -78,6 +78,7 @@ def budgets(leaves: DataFrame, total: Column, epochs: int = EPOCHS) -> DataFrame
 def mixed(
     docs: DataFrame,
     key: str = "doc_id",
+    order: str | None = None,
     domain: Column | None = None,
     language: Column | None = None,
     source: Column | None = None,
@@ -88,7 +89,7 @@ def mixed(
 ) -> DataFrame:
     """Selects from each leaf of the tree the tokens that its weights call for.
 
-    An epoch is all documents of a leaf in an order seeded by (seed, epoch, key). The leaf's
+    An epoch is all documents of a leaf in an order seeded by (seed, epoch, the order column: by default the key). The leaf's
     selection is the prefix of its epochs, one after the other, that holds its budget of tokens:
     whole epochs first, then the documents of one more epoch up to a last one that may be cut
     inside. The running sum of that epoch is taken over blocks of rows, so a leaf with a
@@ -97,12 +98,13 @@ def mixed(
     One row per document and epoch that is used: the key, domain, language, source, epoch (from 0),
     n_tokens, taken (tokens from the document's start). A null text has no tokens; a
     document without tokens is selected in whole epochs only, with taken 0. Null names of a level
-    are one node of its own. Documents with equal keys are ordered among each other by their size. An empty
+    are one node of its own. Documents with equal values of the order column are ordered among each other by their size. An empty
     table gives no rows. Other columns are not read.
     """
     weights = weights or {}
     rows = docs.select(
         F.col(key).alias("_key"),
+        F.col(order or key).alias("_seed"),
         (F.lit("all") if domain is None else domain).alias("domain"),
         (F.col("lang") if language is None else language).alias("language"),
         (F.col("source") if source is None else source).alias("source"),
@@ -122,9 +124,9 @@ def mixed(
     condition = F.lit(True)
     for level in LEVELS:
         condition = condition & F.col(level).eqNullSafe(F.col(f"_{level}"))
-    seeded = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_full").cast("string"), F.coalesce(F.col("_key").cast("string"), F.lit(""))))
+    seeded = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_full").cast("string"), F.coalesce(F.col("_seed").cast("string"), F.lit(""))))
     known = rows.join(plan, condition).drop(*[f"_{level}" for level in LEVELS]).withColumn("_order", seeded)
-    run = numbered(known, LEVELS, ["_order", "_key", "n_tokens"], "n_tokens")
+    run = numbered(known, LEVELS, ["_order", "_seed", "n_tokens"], "n_tokens")
     cut = F.greatest(F.least(F.col("_part") - F.col("_before"), F.col("n_tokens")), F.lit(0))
     used = F.when(cut > 0, F.col("_full")).otherwise(F.col("_full") - 1)
     return (
