@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import chat, exact, language, lines, mixing, near, packing, quality, secrets, sharding
+from panelcast.llm import chat, exact, language, lines, mixing, near, packing, periods, phrases, quality, secrets, sharding, vectors
 
 #: Domains of the mix by the number in the source's name, and the weights of its nodes.
 WEIGHTS = {
@@ -83,6 +83,32 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("found")).alias("spans"))
 
 
+def op11_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = periods.periodic_runs(docs.select("doc_id", periods.planted(F.col("doc_id")).alias("text")))
+    by_length = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    top = found.withColumn("top", by_length)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return top.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.s")).alias("start"),
+        F.col("top.n").alias("length"),
+        (-F.col("top.p")).alias("period"),
+        F.expr("1000 * top.n div -top.p").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
@@ -95,4 +121,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat": op8_chat,
     "op9_near_dedup": op9_near_dedup,
     "op10_secrets": op10_secrets,
+    "op11_vector_dedup": op11_vector_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
