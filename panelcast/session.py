@@ -57,12 +57,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/panelcast/{name}-{uuid.uuid4().hex}"
 
 
+def write_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A Parquet table below the shared folder, read back."""
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `write_table` or `materialise` wrote, once nothing reads them any more."""
+    for table in tables:
+        spark, path = table.sparkSession, table.__dict__.get("stored_at")
+        if path:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """A table below the shared folder, read back: used many times, lost with no executor.
 
-    Rows are spread evenly over the cores first. Iterative fits read the table
-    again and again, and a layout by series would leave most tasks idle.
+    Rows are spread evenly first, by the rebalance hint, so adaptive execution sizes the parts by the data: a layout by
+    series would leave most tasks idle, and many small parts make the sums that forests exchange per part the larger cost.
     """
-    path = fresh_path(spark, name)
-    df.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
-    return spark.read.parquet(path)
+    return write_table(spark, df.hint("rebalance"), name)
