@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ from panelcast.llm.common import stored
 DEPTH, LEAST, TOP, WITHIN = 3, 10, 2000, 50
 #: Bytes of text that are split at a time, unless one text alone is longer.
 CHUNK = 4 << 20
-#: Bits of a sieve of words (1 MB), and occurrences from which on a word is hot.
-SIEVE, HOT = 1 << 23, 1_000_000
+#: Bits of a sieve of words (1 MB) or of pairs (8 MB), and occurrences from which on a word is hot.
+SIEVE, PAIR_SIEVE, HOT = 1 << 23, 1 << 26, 1_000_000
 #: Suffixes that a task of the sort gets on average, at most.
 ROOM = 1_000_000
 #: 0: part of a word, 1: between words, 2: end of a piece.
@@ -67,11 +68,15 @@ class Words:
         self.langs = lang.dictionary.take(pa.array(known // max(names, 1)))
         self.words = words.dictionary.take(pa.array(known % max(names, 1))).cast(pa.binary())
 
-    def marked(self, bits: bytes) -> np.ndarray:
-        """For each code whether its bit is set in a sieve."""
+    def hashes(self) -> np.ndarray:
+        """For each code the CRC-32 of its language and word."""
         pairs = zip(self.langs.to_pylist(), self.words.to_pylist(), strict=True)
-        place = np.fromiter((zlib.crc32(word, zlib.crc32(lang.encode() + b"\n")) % SIEVE for lang, word in pairs), np.int64, len(self.words))
-        return (np.frombuffer(bits, np.uint8)[place >> 3] >> (place & 7)) & 1 == 1
+        return np.fromiter((zlib.crc32(word, zlib.crc32(lang.encode() + b"\n")) for lang, word in pairs), np.int64, len(self.words))
+
+
+def _set(bits: bytes, place: np.ndarray) -> np.ndarray:
+    """Whether the bits at the places are set."""
+    return (np.frombuffer(bits, np.uint8)[place >> 3] >> (place & 7)) & 1 == 1
 
 
 def _split(batch: pa.RecordBatch) -> Iterator[Words]:
@@ -141,48 +146,77 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "word").agg(F.sum("a").alias("a")).select("lang", F.array("word").alias("words"), "a")
 
 
-def _sieve(words: DataFrame) -> bytes:
-    """A bitmap of SIEVE bits, 1 MB whatever the number of words, of the hashes of lang and word."""
-    place = F.pmod(F.crc32(F.concat(F.col("lang"), F.lit("\n"), F.col("words")[0]).cast("binary")), F.lit(SIEVE)).cast("long") + 1  # bit 0 has number 1
-    parts = words.select(place.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
-    bits = bytearray(SIEVE // 8)
+def _word_hash(place: int) -> Column:
+    return F.crc32(F.concat(F.col("lang"), F.lit("\n"), F.col("words")[place]).cast("binary"))
+
+
+def _pair_place(one: Any, two: Any) -> Any:
+    """A pair's bit from the hashes of its words, before it is cut to the size of the sieve; of numbers or columns."""
+    return one * 5 + two * 3
+
+
+def _sieve(place: Column, size: int, words: DataFrame) -> bytes:
+    """A bitmap of `size` bits of the places of the rows, as large whatever their number."""
+    placed = words.select((F.pmod(place, F.lit(size)).cast("long") + 1).alias("h"))  # bit 0 has number 1
+    parts = placed.groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    bits = bytearray(size // 8)
     for bucket, part in parts.collect():
         at = (bucket - 1) * len(part)
         bits[at : at + len(part)] = part
     return bytes(bits)
 
 
-def _suffixes(docs: DataFrame, frequent: bytes, hot: bytes, depth: int) -> DataFrame:
-    """The suffixes of pieces, cut to `depth` words and at the first word that is surely rare: lang, words, weight, hot.
+def _equal_once(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of numbers, and how often each occurs."""
+    base = int(keys.max()) + 1
+    if base ** keys.shape[1] < 1 << 63:
+        packed, weight = np.unique(keys @ (base ** np.arange(keys.shape[1])[::-1]), return_counts=True)
+        columns = []
+        for _ in range(keys.shape[1]):
+            packed, digit = np.divmod(packed, base)
+            columns.append(digit)
+        return np.stack(columns[::-1], 1), weight
+    keys = keys[np.lexsort(keys.T[::-1])]
+    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
+    return keys[first], np.diff(np.append(first, len(keys)))
 
-    Only those of two words or more. Equal suffixes of a task are sorted together and leave it once, with their number.
-    `hot` marks those whose first two words are both hot.
+
+def _suffixes(docs: DataFrame, sieves: tuple[bytes, bytes, bytes | None], shortest: int, depth: int) -> DataFrame:
+    """The suffixes of pieces, cut to `depth` words and ahead of what is surely rare: lang, words, weight, hot.
+
+    sieves: of frequent words, of hot ones, and of frequent pairs, if they are known. Only suffixes of `shortest` words or more. Equal
+    ones leave a task once, with their number. `hot` marks those whose first two words are both hot.
     """
-    context = docs.sparkSession.sparkContext
-    sieves = context.broadcast((frequent, hot))  # 1 MB each, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(sieves)  # 10 MB, whatever the input
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = sieves.value
+        known, often, pairs = shared.value
         for batch in batches:
             for found in _split(batch):
-                likely = found.marked(known)[found.codes] if len(found.codes) else np.zeros(0, bool)
-                keys = np.zeros((len(found.codes), depth), np.int64)
-                open_ = likely.copy()
-                for k in range(depth):
-                    if k:
-                        # the word k places on goes on the suffix, if neither the piece nor the text has ended
-                        open_[len(open_) - k :] = False
-                        open_[:-k] &= ~found.ends[k - 1 : len(open_) - 1] & likely[k:]
-                    keys[: len(open_) - k, k] = np.where(open_[: len(open_) - k], found.codes[k:] + 1, 0)
-                keys = keys[keys[:, 1] > 0]
-                if not len(keys):
+                if len(found.codes) < shortest:
+                    continue
+                hashes = found.hashes()
+                mark = _set(often, hashes % SIEVE)
+                likely = _set(known, hashes % SIEVE)[found.codes]
+                # whether word i + 1 may follow word i
+                goes = ~found.ends[:-1] & likely[:-1] & likely[1:]
+                if pairs is not None:
+                    at = np.flatnonzero(goes)
+                    own = hashes[found.codes]
+                    goes[at] = _set(pairs, _pair_place(own[at], own[at + 1]) % PAIR_SIEVE)
+                begin = np.arange(len(found.codes) - shortest + 1)
+                for k in range(1, shortest):
+                    begin = begin[goes[begin + k - 1]]
+                if not len(begin):
                     continue
-                by = np.lexsort(keys.T[::-1])
-                keys = keys[by]
-                first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
-                weight = np.diff(np.append(first, len(keys)))
-                keys = keys[first]
-                mark = found.marked(often)
+                keys = np.zeros((len(begin), depth), np.int64)
+                keys[:, :shortest] = found.codes[begin[:, None] + np.arange(shortest)] + 1
+                alive = np.arange(len(begin))
+                for k in range(shortest, depth):
+                    last = begin[alive] + k - 1
+                    alive = alive[(last < len(goes)) & goes[np.minimum(last, len(goes) - 1)]]
+                    keys[alive, k] = found.codes[begin[alive] + k] + 1
+                keys, weight = _equal_once(keys)
                 flat = keys[keys > 0] - 1
                 offsets = np.concatenate([[0], np.cumsum((keys > 0).sum(1))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -198,8 +232,8 @@ def _suffixes(docs: DataFrame, frequent: bytes, hot: bytes, depth: int) -> DataF
     return docs.mapInArrow(cut, "lang string, words array<string>, weight long, hot boolean")
 
 
-def _sorted_counts(routed: DataFrame, depth: int, least: int) -> DataFrame:
-    """The phrases of two words and more of each task's suffixes with their counts, by quicksort: lang, words, a.
+def _sorted_counts(routed: DataFrame, shortest: int, depth: int, least: int) -> DataFrame:
+    """The phrases of `shortest` words and more of each task's suffixes with their counts, by quicksort: lang, words, a.
 
     All suffixes with the same first two words are in one task, so a partition that weighs too little is abandoned
     there. Suffixes that begin with two hot words are dealt by the third word as well: of their first two words the task
@@ -223,7 +257,7 @@ def _sorted_counts(routed: DataFrame, depth: int, least: int) -> DataFrame:
         weights = held.column("weight").to_numpy()
         hot = held.column("hot").to_numpy()
         for d, suffix, weight in multikey_quicksort(keys, weights, np.where(hot, 1, least)):
-            if d < 2:
+            if d < shortest:
                 continue
             keep = (weight >= least) | (hot[suffix] & (d == 2))
             suffix, weight = suffix[keep], weight[keep]
@@ -248,12 +282,20 @@ def phrase_counts(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, hot:
     totals = single.groupBy("lang").agg(F.sum("a").alias("n"))
     frequent = single.filter(F.col("a") >= least)
     size = frequent.agg(F.sum("a")).first()[0] or 0
-    suffixes = _suffixes(docs, _sieve(frequent), _sieve(frequent.filter(F.col("a") >= hot)), depth)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // room))
-    third = F.when(F.col("hot"), F.slice("words", 3, 1))
-    routed = suffixes.repartition(parts, "lang", F.slice("words", 1, 2), third)
-    counted = _sorted_counts(routed, depth, least).groupBy("lang", "words").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
-    return frequent.unionByName(stored(counted, "phrases")), totals
+    word_sieves = _sieve(_word_hash(0), SIEVE, frequent), _sieve(_word_hash(0), SIEVE, frequent.filter(F.col("a") >= hot))
+
+    def counted(pairs: bytes | None, shortest: int, longest: int) -> DataFrame:
+        suffixes = _suffixes(docs, (*word_sieves, pairs), shortest, longest)
+        routed = suffixes.repartition(parts, "lang", F.slice("words", 1, 2), F.when(F.col("hot"), F.slice("words", 3, 1)))
+        summed = _sorted_counts(routed, shortest, longest, least).groupBy("lang", "words").agg(F.sum("a").alias("a"))
+        return stored(summed.filter(F.col("a") >= least), "phrases")
+
+    pairs = counted(None, 2, 2)
+    found = frequent.unionByName(pairs)
+    if depth > 2:
+        found = found.unionByName(counted(_sieve(_pair_place(_word_hash(0), _word_hash(1)), PAIR_SIEVE, pairs), 3, depth))
+    return found, totals
 
 
 def collocations(
@@ -266,10 +308,11 @@ def collocations(
 
     1. Words are counted. Those under `least` end a suffix, as no phrase with one is frequent; a sieve of 1 MB tells them
        (some rare words pass, at the cost of a longer suffix only).
-    2. Every suffix of a piece, cut to `depth` words, is routed by its first two words to a task, equal ones of a task once with
+    2. Every suffix of a piece is routed by its first two words to a task, equal ones of a task once with
        their number. Those that begin with two words of `hot` occurrences each are also dealt by the third.
-    3. Each task sorts its suffix pointers by multikey three-way quicksort to the full depth. The weights
+    3. Each task sorts its suffix pointers by multikey three-way quicksort. The weights
        of the equal partitions are the counts; partitions under `least` are abandoned. Tasks grow in number with the input.
+    4. Steps 2 and 3 run for pairs, then, to the full depth, for the suffixes that a sieve of the frequent pairs leaves three words.
 
     score = floor(1000000 a a / (l r)) for a phrase of a occurrences whose two parts have l and r, at the cut with the lowest score,
     the first of equal ones. A phrase whose words lie within a longer one of `within` hundredths of its occurrences or more
