@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelcast.session import fresh_path
+from panelcast.session import write_table
 
 #: A word: a run of anything but the ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,11 +15,8 @@ ROW_BITS = (1 << 33) - 1
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table below the shared folder: a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """The rows as a Parquet table below the shared folder: a lost executor costs no recomputation. See also `discard`."""
+    return write_table(df.sparkSession, df, name)
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -99,3 +96,16 @@ def numbered(df: DataFrame, group: list[str], order: list[str], value: str | Non
     if value:
         out = out.withColumn("_before", F.col("_skip_sum") + F.col("_inside"))
     return out.drop("_block", "_at", "_b", "_first", "_skip", "_skip_sum", "_inside", *[f"_g{i}" for i in range(len(group))])
+
+
+def smallest_hashes(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The values of the key, without null, that have the smallest hashes: `rows` at most, whatever the layout of the table.
+
+    Rows are counted, and keys above the hash that some four times as many would lie below are dropped where they are read, so
+    no task collects more than a few times `rows` keys. Of a key that repeats, fewer different values are drawn.
+    """
+    total = df.count()
+    share = min(1.0, 4.0 * rows / max(total, 1))
+    limit = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
+    hashed = df.select(key, F.xxhash64(key).alias("_draw")).filter(F.col(key).isNotNull() & (F.col("_draw") <= F.lit(limit)))
+    return hashed.sort("_draw", key).limit(rows).select(key).distinct()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from panelcast.llm import minhash, words
 from panelcast.llm.common import numbered, sieved, stored
 from panelcast.llm.graph import components
+from panelcast.session import discard
 
 #: Least similarity in hundredths.
 SIMILARITY = 75
@@ -27,8 +28,18 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         yield first, last, *minhash.shingle_sets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
 
 
+def _lists_of(column: pa.Array) -> list[np.ndarray]:
+    """The sorted shingle set of every text."""
+    return [shingles[a:b] for _, _, shingles, begins in _sets(column) for a, b in zip(begins[:-1], begins[1:], strict=True)]
+
+
+def text_hash(name: str) -> Column:
+    """128 bits that name a text; null for a null one."""
+    return F.unhex(F.substring(F.sha2(name, 256), 1, 32))
+
+
 def signed(docs: DataFrame, bands: int = minhash.BANDS, width: int = minhash.WIDTH) -> DataFrame:
-    """doc_id, text_hash, n_shingles, name (of the shingle set) and keys (one for each band) of every row."""
+    """id, text_hash, n_shingles, name (of the shingle set) and keys (one for each band) of every row of id and text."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,58 +55,55 @@ def signed(docs: DataFrame, bands: int = minhash.BANDS, width: int = minhash.WID
                         pa.array(names, pa.binary()),
                         pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
                     ],
-                    names=["doc_id", "text_hash", "n_shingles", "name", "keys"],
+                    names=["id", "text_hash", "n_shingles", "name", "keys"],
                 )
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").alias("body"))
-    return rows.mapInArrow(sign, f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, n_shingles long, name binary, keys array<long>")
+    rows = docs.select("id", text_hash("text").alias("text_hash"), F.col("text").alias("body"))
+    return rows.mapInArrow(sign, f"id {dict(rows.dtypes)['id']}, text_hash binary, n_shingles long, name binary, keys array<long>")
 
 
-def _shingled(docs: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
-    """node and its shingle set, from the text of one row of each node; `repeated`: rows may have the same doc_id."""
+def _bodies(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and body: one text of each node."""
+    texts, _ = sieved(docs.select(text_hash("text").alias("text_hash"), F.col("text").alias("body")), "text_hash", nodes)
+    return texts.groupBy("text_hash").agg(F.first("body").alias("body")).join(nodes.select("node", "text_hash"), "text_hash").select("node", "body")
 
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted = batch.column(1).to_pylist()
-            for first, last, shingles, begins in _sets(batch.column(2)):
-                own = [minhash.identity(shingles[a:b]) == wanted[first + i] for i, (a, b) in enumerate(zip(begins[:-1], begins[1:], strict=True))]
-                lists = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(shingles.view(np.int64)))
-                part = pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists], names=["node", "shingles"])
-                yield part.filter(pa.array(own, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), F.col("text").alias("body"))
-    texts, _ = sieved(texts, "text_hash", nodes)
-    same = F.col("id").eqNullSafe(F.col("row.doc_id")) & (F.col("text_hash") == F.col("row.text_hash"))
-    rows = texts.join(nodes.select("node", "name", "row"), same).select("node", "name", "body")
-    rows = rows.dropDuplicates(["node"]) if repeated else rows
-    return rows.mapInArrow(shingle, "node long, shingles array<long>")
-
-
-def _similar(both: Column, one: Column, other: Column, similarity: int) -> Column:
-    return 100 * both >= similarity * (one + other - both)
+def _leader_links(pairs: DataFrame, bodies: DataFrame, similarity: int) -> DataFrame:
+    """Those of the pairs of a member and the first member of its bucket that are links, by their full sets.
 
+    Texts are shuffled and become sets in the task, as a text packs better than its hashes.
+    """
 
-def _leader_links(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Those of the pairs of a member and the first member of its bucket that are links."""
-    size = F.size("shingles").cast("long")
-    one = sets.select("node", F.col("shingles").alias("mine"), size.alias("m"))
-    other = sets.select(F.col("node").alias("leader"), F.col("shingles").alias("theirs"), size.alias("t"))
-    close = _similar(F.size(F.array_intersect("mine", "theirs")), F.col("m"), F.col("t"), similarity)
-    return pairs.join(one, "node").join(other, "leader").filter(close).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, theirs = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            leaders, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            fresh = np.concatenate([[leader is None or leaders[0] != leader], leaders[1:] != leaders[:-1]]) if len(leaders) else np.zeros(0, bool)
+            heads = iter(_lists_of(batch.column(3).filter(pa.array(fresh))))
+            linked = np.zeros(len(leaders), bool)
+            for i, mine in enumerate(_lists_of(batch.column(2))):
+                if fresh[i]:
+                    leader, theirs = leaders[i], next(heads)
+                both = len(np.intersect1d(mine, theirs, assume_unique=True))
+                linked[i] = 100 * both >= similarity * (len(mine) + len(theirs) - both)
+            yield pa.RecordBatch.from_arrays([pa.array(leaders[linked]), pa.array(nodes[linked])], names=["a", "b"])
+
+    one = bodies.select("node", F.col("body").alias("mine"))
+    other = bodies.select(F.col("node").alias("leader"), F.col("body").alias("theirs"))
+    return pairs.join(one, "node").join(other, "leader").select("leader", "node", "mine", "theirs").mapInArrow(compare, "a long, b long")
 
 
 def _lists(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each row of array<struct<node, label, shingles>>: nodes, labels, all shingles and the place of the set each is in."""
+    """For each row of array<struct<node, label, body>>: nodes, labels, all shingles and the place of the set each is in."""
     out = []
     for row in range(len(column)):
         if not column[row].is_valid:
             out.append(None)
             continue
         items = column[row].values
-        lists = items.field(2)
-        lengths = np.diff(lists.offsets.to_numpy())
-        values = lists.flatten().to_numpy()
-        out.append((items.field(0).to_numpy(), items.field(1).to_numpy(), values, np.repeat(np.arange(len(lengths)), lengths)))
+        lists = _lists_of(items.field(2))
+        lengths = [len(x) for x in lists]
+        out.append((items.field(0).to_numpy(), items.field(1).to_numpy(), np.concatenate(lists), np.repeat(np.arange(len(lengths)), lengths)))
     return out
 
 
@@ -137,7 +145,7 @@ def _spanning(one: tuple, two: tuple, x: np.ndarray, y: np.ndarray) -> tuple[np.
     return one[0][x[kept]], two[0][y[kept]]
 
 
-def _block_links(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+def _block_links(members: DataFrame, bodies: DataFrame, similarity: int) -> DataFrame:
     """Links between members of a bucket that still have different labels.
 
     A bucket is cut into blocks of about BLOCK shingles, and each pair of its blocks is one row of work that
@@ -150,7 +158,7 @@ def _block_links(members: DataFrame, sets: DataFrame, similarity: int) -> DataFr
     many = last.filter("last > 0")
 
     def filled(rows: DataFrame) -> DataFrame:
-        return rows.join(sets, "node").groupBy("key", "block").agg(F.collect_list(F.struct("node", "label", "shingles")).alias("items"))
+        return rows.join(bodies, "node").groupBy("key", "block").agg(F.collect_list(F.struct("node", "label", "body")).alias("items"))
 
     alone = filled(placed.join(many, "key", "left_anti"))
     single = alone.select("items", F.lit(None).cast(alone.schema["items"].dataType).alias("others"))
@@ -177,7 +185,9 @@ def _block_links(members: DataFrame, sets: DataFrame, similarity: int) -> DataFr
     return dealt.unionByName(single).mapInArrow(compare, "a long, b long")
 
 
-def near_groups(docs: DataFrame, similarity: int = SIMILARITY, bands: int = minhash.BANDS, width: int = minhash.WIDTH) -> DataFrame:
+def near_groups(
+    docs: DataFrame, similarity: int = SIMILARITY, bands: int = minhash.BANDS, width: int = minhash.WIDTH, key: str = "doc_id"
+) -> DataFrame:
     """Groups of documents that links of similar shingle sets hold together.
 
     Two documents are linked if 100 x intersection >= similarity x union of their sets of distinct five-word
@@ -198,39 +208,46 @@ def near_groups(docs: DataFrame, similarity: int = SIMILARITY, bands: int = minh
     (doc_id is component_id). A text of one to four words has one shingle, all of them. A null, empty or
     blank text has none and is linked with nothing. Equal rows are linked with each other. Rows with the same
     doc_id and different texts are nodes of their own. A null doc_id has a component of null if no other row is in it. An
-    empty table gives no rows. Other columns are not read.
+    empty table gives no rows. Other columns are not read. `key`: the column that names the rows, if not doc_id.
     """
-    rows = stored(signed(docs, bands, width), "signed")
-    full = rows.filter("n_shingles > 0")
-    nodes = stored(
-        full.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")).withColumn(
-            "node", F.monotonically_increasing_id()
-        ),
-        "nodes",
+    docs = docs.select(F.col(key).alias("id"), "text")
+    first_rows = stored(signed(docs, bands, width), "signed")
+    full = first_rows.filter("n_shingles > 0")
+    grouped = full.groupBy("name").agg(
+        F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")
     )
-    repeated = not full.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    nodes = nodes.withColumn("text_hash", F.col("row.text_hash"))
-    banded = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
-    members = stored(banded.join(buckets, "key"), "members")
+    keyed = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "keyed")
+    rows = stored(first_rows.drop("keys", "text_hash"), "rows")
+    discard(first_rows)
+    banded = keyed.select("node", F.explode("keys").alias("key"))
+    buckets = stored(banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader"), "buckets")
+    shared, _ = sieved(banded, "key", buckets)
+    members = stored(shared.join(buckets, "key"), "members")
+    nodes = stored(keyed.drop("keys"), "nodes")
+    discard(keyed, buckets)
     sizes = nodes.select("node", "n_shingles")
     pairs = members.filter("node <> leader").select("node", "leader").distinct()
     pairs = pairs.join(sizes, "node").join(sizes.select(F.col("node").alias("leader"), F.col("n_shingles").alias("l")), "leader")
     pairs = stored(pairs.filter(100 * F.least("n_shingles", "l") >= similarity * F.greatest("n_shingles", "l")).select("node", "leader"), "pairs")
-    paired = pairs.select(F.explode(F.array("node", "leader")).alias("node")).distinct()
-    first = stored(_leader_links(pairs, stored(_shingled(docs, nodes.join(paired, "node", "left_semi"), repeated), "sets"), similarity), "links")
-    labels = components(first)
+    bodies = stored(_bodies(docs, nodes.join(members.select("node").distinct(), "node", "left_semi")), "bodies")
+    links = stored(_leader_links(pairs, bodies, similarity), "links")
+    labels = components(links)
+    discard(pairs, links)
     labelled = members.filter("node <> leader").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    split = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    # buckets with the same members are one: their number of members and two sums of 64 bits are its name
+    marks = [F.expr(f"bit_xor(xxhash64({seed}, node))") for seed in (1, 2)]
+    split = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), *[m.alias(f"m{i}") for i, m in enumerate(marks)])
+    split = split.filter("low <> high").groupBy("n", "m0", "m1").agg(F.min("key").alias("key")).select("key")
     open_members = stored(labelled.join(split, "key", "left_semi").join(sizes, "node"), "open")
-    sets = stored(_shingled(docs, nodes.join(open_members.select("node").distinct(), "node", "left_semi"), repeated), "sets")
-    rest = stored(_block_links(open_members, sets, similarity), "links")
+    rest = stored(_block_links(open_members, bodies, similarity), "links")
     if not rest.isEmpty():
         known = labels.filter("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
         labels = components(known.unionByName(rest.distinct()))
-    named = nodes.join(labels, "node", "left").select("name", "doc_id", F.coalesce("label", "node").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    discard(members, bodies, open_members, rest)
+    named = nodes.join(labels, "node", "left").select("name", "least", F.coalesce("label", "node").alias("label"))
+    smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
     groups = named.join(smallest, "label").select("name", "component_id")
-    grouped = full.join(groups, "name").select("doc_id", "n_shingles", "component_id")
-    empty = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return grouped.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    some = rows.filter("n_shingles > 0").join(groups, "name").select("id", "n_shingles", "component_id")
+    empty = rows.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
+    found = some.unionByName(empty).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    return found.withColumnRenamed("id", key)

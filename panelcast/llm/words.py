@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at a time, unless one text alone is longer.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
+#: Bytes of a word that are mixed eight at a time; the few longer words are hashed one by one.
+LONG = 256
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_ROLL = np.uint64(0x9E3779B97F4A7C15 | 1)
-_POWERS: dict[str, np.ndarray] = {}
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_TAIL = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,18 +24,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column and the offsets of its rows; null is empty."""
-    column = column.fill_null("").cast(pa.large_string())
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    column = column.fill_null("") if column.null_count else column
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
@@ -61,22 +64,25 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(start, offsets)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, CHUNK + 1)
-        up, down = np.full(size, _ROLL), np.full(size, np.uint64(pow(int(_ROLL), -1, 1 << 64)))
-        up[0] = down[0] = 1
-        _POWERS["up"], _POWERS["down"] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
-
-
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of the words: differences of one running polynomial sum, then mixed."""
-    up, down = _powers(len(data) + 1)
-    table = _TABLE[_LOWER] if lower else _TABLE
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * up[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    """64-bit hashes of the words: eight bytes after eight are mixed into the hash of those ahead, then the length.
+
+    Every step is a bijection that depends on all bytes so far, so texts made of the same blocks in another order differ.
+    """
+    padded = np.concatenate([_LOWER[data] if lower else data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
+    length = end - start
+    out = mix(length.astype(np.uint64) * _STEP + _MIX_A)
+    words = np.flatnonzero(length <= LONG)
+    for at in range(0, LONG, 8):
+        words = words[length[words] > at]
+        if not len(words):
+            break
+        block = eight[start[words] + at] & _TAIL[np.minimum(length[words] - at, 8)]
+        out[words] = mix((out[words] ^ block) + _STEP)
+    for k in np.flatnonzero(length > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(padded[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:
