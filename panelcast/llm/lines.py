@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 from pyspark.sql.window import Window
 
 from panelcast.llm.common import WORD, sieved, stored, text_or_empty, word_count
+from panelcast.session import discard
 
 #: Words that a repeated run of lines has at least.
 LEAST_WORDS = 20
@@ -62,7 +64,9 @@ def repeated_runs(keyed: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     copies. Merged where they touch or overlap, they are the maximal repeated runs. Rounds stop at the longest of the shortest runs.
     """
     lines = stored(_lines(keyed, least), "lines")
-    array = stored(lines.join(_ranked(lines, ["id"]), "id").drop("id").withColumnRenamed("order", "rank"), "suffixes")
+    ranks = _ranked(lines, ["id"])
+    array = suffixes = stored(lines.join(ranks, "id").drop("id").withColumnRenamed("order", "rank"), "suffixes")
+    discard(lines, ranks)
     units = stored(
         array.filter("stop is not null")
         .select("row", "doc_id", F.col("line").alias("first"), (F.col("stop") - F.col("line")).cast("long").alias("length"))
@@ -78,15 +82,21 @@ def repeated_runs(keyed: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     array = array.select("row", "line", "rank")
     found, width = [], 1
     while width <= longest:
-        found.append(_later(units.filter((F.col("length") >= width) & (F.col("length") < 2 * width)), array, width))
+        # the result of a round is small; stored, it leaves one round's plan to run at a time
+        found.append(stored(_later(units.filter((F.col("length") >= width) & (F.col("length") < 2 * width)), array, width), "later"))
         if 2 * width > longest:
             break
         second = F.first("rank").over(Window.partitionBy("row").orderBy("line").rangeBetween(width, width))
-        pairs = stored(array.withColumn("second", second).filter("second is not null"), "pairs")
-        array = stored(pairs.join(_ranked(pairs, ["rank", "second"]), ["rank", "second"]).select("row", "line", F.col("order").alias("rank")), "suffixes")
+        pairs = stored(array.select("row", "line", "rank", second.alias("second")).filter("second is not null"), "pairs")
+        ranks = _ranked(pairs, ["rank", "second"])
+        discard(suffixes)
+        suffixes = stored(pairs.join(ranks, ["rank", "second"]).select("row", "line", F.col("order").alias("rank")), "suffixes")
+        array = suffixes
+        discard(pairs, ranks)
         width *= 2
+    discard(suffixes, units)
     if not found:
-        return units.select("row", F.col("first").alias("start"), F.col("first").alias("stop")).limit(0)
+        return keyed.select("row", F.lit(0).alias("start"), F.lit(0).alias("stop")).limit(0)
     spans = reduce(DataFrame.unionByName, found)
     by = Window.partitionBy("row").orderBy("start", "stop")
     reach = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
@@ -107,15 +117,27 @@ def _later(units: DataFrame, array: DataFrame, width: int) -> DataFrame:
     return later.select(F.col("place.row").alias("row"), F.col("place.first").alias("start"), (F.col("place.first") + F.col("length")).cast("int").alias("stop"))
 
 
+def _name(docs: DataFrame) -> Column:
+    """128 bits that name a row: of a SHA-256 over every column's null flag, length and text, so no two rows read alike.
+
+    Nested columns are written as JSON with their nulls.
+    """
+    whole = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    parts = []
+    for field in docs.schema.fields:
+        nested = isinstance(field.dataType, (ArrayType, MapType, StructType))
+        value = F.to_json(F.struct(docs[field.name]), whole) if nested else docs[field.name].cast("string")
+        parts.append(F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-")))
+    return F.unhex(F.substring(F.sha2(F.concat(*parts), 256), 1, 32))
+
+
 def _distinct(docs: DataFrame) -> DataFrame:
-    """Each different row once: row (a 128-bit name of all its columns), input (the columns) and copies.
+    """Each different row once: row (its name), input (the columns) and copies.
 
     The name stays the same however often the documents are read, so no numbered copy of the texts is
     written. Only rows whose name may be repeated are shuffled.
     """
-    fields = [F.to_json(F.struct(docs[f.name])) if "map<" in f.dataType.simpleString() else docs[f.name] for f in docs.schema.fields]
-    halves = [F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(*fields), F.xxhash64(F.lit("row"), *fields))]
-    named = docs.select(F.unhex(F.concat(*halves)).alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("input"))
+    named = docs.select(_name(docs).alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("input"))
     repeats = stored(named.groupBy("row").agg(F.count("*").alias("copies")).filter("copies > 1"), "repeats")
     if repeats.isEmpty():
         return named.withColumn("copies", F.lit(1).cast("long"))
