@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,20 +105,17 @@ def formatted(turns: DataFrame) -> DataFrame:
         "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
 
-    def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [rendered(r, t) for r, t in zip(batch["role"], batch["text"], strict=True)]
-            yield batch.assign(
-                piece=[m.piece for m in made],
-                text_start=[m.start for m in made],
-                text_end=[m.end for m in made],
-                escape_level=[m.level for m in made],
-                loss=[r == ASSISTANT for r in batch["role"]],
-            )
+            roles = batch.column(2).to_pylist()
+            made = [rendered(r, t) for r, t in zip(roles, batch.column(3).to_pylist(), strict=True)]
+            numbers = [pa.array([getattr(m, name) for m in made], pa.int32()) for name in ("start", "end", "level")]
+            columns = [*batch.columns, pa.array([m.piece for m in made], pa.string()), *numbers, pa.array([r == ASSISTANT for r in roles], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "piece", "text_start", "text_end", "escape_level", "loss"])
 
     conv = dict(rows.dtypes)["conv_id"]
     schema = f"conv_id {conv}, turn long, role string, text string, piece string, text_start int, text_end int, escape_level int, loss boolean"
-    return rows.mapInPandas(render, schema)
+    return rows.mapInArrow(render, schema)
 
 
 class _Digest:
@@ -152,29 +149,33 @@ def read_back(pieces: DataFrame) -> DataFrame:
     conversation. Rows with the same turn follow each other by piece.
     """
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _Digest | None = None
         done: list[tuple] = []
         for batch in batches:
-            for conv, piece, start, end, loss in zip(*(batch[c] for c in ("conv_id", "piece", "text_start", "text_end", "loss")), strict=True):
-                key = None if pd.isna(conv) else int(conv)
-                if now is None or now.conv != key:
+            for conv, piece, start, end, loss in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5)), strict=True):
+                if now is None or now.conv != conv:
                     if now is not None:
                         done.append(now.row())
-                    now = _Digest(key)
+                    now = _Digest(conv)
                 now.add(piece, start, end, loss)
             if done:
-                yield pd.DataFrame(done, columns=NAMES).astype({"conv_id": "Int64"})
+                yield _batch(done)
                 done = []
         if now is not None:
-            yield pd.DataFrame([now.row()], columns=NAMES).astype({"conv_id": "Int64"})
+            yield _batch([now.row()])
 
     rows = pieces.select(F.col("conv_id").cast("long"), "turn", "piece", "text_start", "text_end", "loss")
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "piece")
-    return dealt.mapInPandas(
+    return dealt.mapInArrow(
         digest,
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, escaped_turns long",
     )
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string() if name.endswith("sha256") else pa.int64() for name in NAMES]
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=NAMES)
+
+
 NAMES = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "escaped_turns"]
