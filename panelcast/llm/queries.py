@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm import chat, exact, language, lines, mixing, near, packing, periods, phrases, quality, secrets, sharding, vectors
+from panelcast.llm.common import smallest_hashes
 
 #: Domains of the mix by the number in the source's name, and the weights of its nodes.
 WEIGHTS = {
@@ -73,7 +74,14 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    found = secrets.scanned(docs, secrets.learned(secrets.samples(docs)))
+    # hosts, paths and names in the addresses of crawled pages are ordinary identifiers
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    drawn = smallest_hashes(pages, "page_id", secrets.SAMPLE)
+    addresses = pages.select("page_id", "url").join(F.broadcast(drawn), "page_id")  # bounded: SAMPLE ids
+    names = addresses.select(F.explode(F.regexp_extract_all("url", F.lit("[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("value"))
+    labelled = secrets.samples(docs, names)
+    model = secrets.learned(labelled)
+    found = secrets.scanned(docs, model, secrets.calibrated(labelled, model)[0])
     base = F.filter("found", lambda m: m["kind"] < 3)
 
     def many(kind: str) -> Column:

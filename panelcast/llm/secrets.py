@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import stored, text_or_empty
+from panelcast.llm.common import smallest_hashes, stored, text_or_empty
 
 #: Fixed patterns of the base rules, with the group whose length counts and its least length.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -18,8 +18,8 @@ BASE = [("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 THRESHOLD = 0.5
-#: Labelled rows that are learned from, at most.
-SAMPLE = 2000
+#: Documents whose strings are learned from, at most, and the share of held-out ordinary strings that may be called secrets.
+SAMPLE, MOST_WRONG = 2000, 0.01
 #: The order of kinds among spans with the same start.
 KINDS = ["assign", "access", "hex", "markov"]
 
@@ -75,42 +75,99 @@ def with_base(rows: DataFrame) -> DataFrame:
     return _kept(found.select(*rows.columns, *[spans_of(*rule) for rule in BASE]))
 
 
-def samples(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
-    """Labelled strings (value, random) from the `rows` documents with the smallest hashes of doc_id.
+def drawn_texts(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
+    """doc_id and text of `rows` documents at most: those with the smallest hashes of doc_id.
 
-    Ordinary are the identifiers of their texts, once the base rules' matches are taken out; random are
-    those matches' values, and digests of the doc_ids in the hexadecimal and the base-64 alphabet.
+    Only ids are sorted (see `smallest_hashes`); then the texts of the drawn ids are fetched, of rows with one id the smallest.
     """
-    drawn = stored(docs.select("doc_id", text_or_empty().alias("text")).sort(F.xxhash64("doc_id"), "doc_id", "text").limit(rows), "drawn")
+    ids = smallest_hashes(docs, "doc_id", rows)
+    found = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id")  # bounded: `rows` ids
+    return stored(found.groupBy("doc_id").agg(F.min("text").alias("text")), "drawn")
+
+
+def _identifiers(texts: DataFrame) -> DataFrame:
+    """Names as people write them, of each two to four words in a row: camelCase, snake_case, kebab-case, paths, constants.
+
+    texts: words, an array. Groups of words become rows before anything is made of them.
+    """
+    words = _kept(texts.filter(F.size("words") > 3))
+    groups = F.transform(F.sequence(F.lit(1), F.size("words") - 3, F.lit(4)), lambda i: F.slice("words", i, 2 + i % 3))
+    rows = words.select(F.explode(groups).alias("w"))
+    camel = F.array_join(F.transform("w", F.initcap), "")
+    forms = [camel, F.array_join("w", "_"), F.array_join("w", "-"), F.concat(F.lit("/"), F.array_join("w", "/")), F.upper(F.array_join("w", "_"))]
+    return rows.select(F.explode(F.array(*forms)).alias("value"))
+
+
+def samples(docs: DataFrame, names: DataFrame | None = None, rows: int = SAMPLE) -> DataFrame:
+    """Labelled strings: value, random, and `held` for the third that the threshold is set on and the models do not see.
+
+    Ordinary are the words of the drawn texts, once the base rules' matches are taken out, the identifiers that are made of
+    them (camelCase, snake_case, kebab-case, paths, constants), and `names` (value), known identifiers as hosts and paths. Random are the
+    values of the base rules' matches, and digests of the doc_ids in the alphabets of hexadecimal, base 64, and capitals or small letters
+    with digits.
+    """
+    drawn = drawn_texts(docs, rows)
     bare = F.col("text")
     for _, pattern, _, _ in BASE[:2]:
         bare = F.regexp_replace(bare, pattern, " ")
     bare = F.regexp_replace(bare, "[0-9a-f]{16,}", " ")
-    ordinary = drawn.select(F.explode(F.regexp_extract_all(bare, F.lit("[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("value"), F.lit(False).alias("random"))
-    digest = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256)
-    made = drawn.select(F.explode(F.array(digest, F.base64(F.unhex(digest)))).alias("value"), F.lit(True).alias("random"))
-    values = [F.transform(kind, lambda m: m["value"]) for kind, _, _, _ in BASE]
-    seen = with_base(drawn).select(F.explode(F.concat(*values)).alias("value"), F.lit(True).alias("random"))
-    return ordinary.unionByName(made).unionByName(seen)
+    words = drawn.select(F.regexp_extract_all(F.lower(bare), F.lit("[a-z]{2,}"), F.lit(0)).alias("words"))
+    plain = drawn.select(F.explode(F.regexp_extract_all(bare, F.lit("[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("value"))
+    ordinary = plain.unionByName(_identifiers(words))
+    if names is not None:
+        ordinary = ordinary.unionByName(names.select("value"))
+    made = []
+    for salt in range(4):
+        digest = F.sha2(F.concat_ws(":", F.lit(str(salt)), F.col("doc_id").cast("string")), 256)
+        coded = F.base64(F.unhex(digest))
+        letters = F.regexp_replace(coded, "[^A-Za-z0-9]", "")
+        made += [digest, coded, F.upper(letters), F.lower(letters), letters]
+    seen = with_base(drawn).select(F.explode(F.concat(*[F.transform(kind, lambda m: m["value"]) for kind, _, _, _ in BASE])).alias("value"))
+    random = drawn.select(F.explode(F.array(*made)).alias("value")).unionByName(seen)
+    both = ordinary.withColumn("random", F.lit(False)).unionByName(random.withColumn("random", F.lit(True)))
+    held = F.pmod(F.xxhash64(F.lower("value")), F.lit(3)) == 0
+    return stored(both.filter(F.col("value").isNotNull()).withColumn("held", held), "labelled")
 
 
 def learned(labelled: DataFrame) -> list[float]:
     """The log-likelihood ratio, random over ordinary, of each step from letter to letter.
 
-    Steps are counted in one aggregate; both models are first-order chains over LETTERS with one added to each
-    count. The driver gets at most 2 x 67 x 67 counts. Null values, and letters outside, are left out. Without samples
+    Steps are counted in one aggregate; both models are first-order chains over LETTERS (see `_chances`). The driver gets at most 2 x 67 x 67 counts. Null values, and letters outside, are left out. Without samples
     every ratio is 0, and nothing is a secret.
     """
     steps = F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.col("value").substr(i, F.lit(2)))
+    if "held" in labelled.columns:
+        labelled = labelled.filter(~F.col("held"))
     counts = labelled.filter(F.length("value") > 1).select("random", F.explode(steps).alias("step")).groupBy("random", "step").count().collect()
     n, place = len(LETTERS), {ch: k for k, ch in enumerate(LETTERS)}
-    tables = {True: [[1.0] * n for _ in range(n)], False: [[1.0] * n for _ in range(n)]}
+    tables = {True: [[0.0] * n for _ in range(n)], False: [[0.0] * n for _ in range(n)]}
     for random, step, count in counts:
         if len(step) == 2 and step[0] in place and step[1] in place:
             tables[random][place[step[0]]][place[step[1]]] += count
-    return [
-        math.log(tables[True][a][b] / sum(tables[True][a])) - math.log(tables[False][a][b] / sum(tables[False][a])) for a in range(n) for b in range(n)
-    ]
+    if not any(map(sum, tables[True])) or not any(map(sum, tables[False])):
+        return [0.0] * (n * n)
+    chances = {random: _chances(table) for random, table in tables.items()}
+    return [math.log(chances[True][a][b]) - math.log(chances[False][a][b]) for a in range(n) for b in range(n)]
+
+
+def _chances(counts: list[list[float]]) -> list[list[float]]:
+    """The chance of each step: half from its own counts, half from those of its letters' classes.
+
+    Classes are capitals, small letters, digits and signs: the chance that one class follows another, times the letter's share of its
+    class. A step that the samples lack is thus as likely as its classes make it, so words of another vocabulary are not taken for random.
+    """
+    n = len(counts)
+    classes = [0 if ch.isupper() else 1 if ch.islower() else 2 if ch.isdigit() else 3 for ch in LETTERS]
+    letter = [1.0 + sum(counts[a][b] for a in range(n)) for b in range(n)]
+    size = [sum(letter[b] for b in range(n) if classes[b] == k) for k in range(4)]
+    follow = [[1.0 + sum(counts[a][b] for a in range(n) for b in range(n) if (classes[a], classes[b]) == (i, j)) for j in range(4)] for i in range(4)]
+    out = []
+    for a in range(n):
+        total = sum(counts[a])
+        after = follow[classes[a]]
+        broad = [after[classes[b]] / sum(after) * letter[b] / size[classes[b]] for b in range(n)]
+        out.append([0.5 * counts[a][b] / total + 0.5 * broad[b] if total else broad[b] for b in range(n)])
+    return out
 
 
 def ratio(value: Column, model: list[float]) -> Column:
@@ -130,6 +187,20 @@ def ratio(value: Column, model: list[float]) -> Column:
     return F.aggregate(F.split(value, ""), F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")), step)["sum"] / (F.length(value) - 1)
 
 
+def calibrated(labelled: DataFrame, model: list[float], most: float = MOST_WRONG) -> tuple[float, float, float]:
+    """The threshold that `most` of the held-out ordinary strings reach, the share that did, and the share of random ones found.
+
+    Only strings that the scan would judge, of 16 letters of LETTERS and more, different ones once each. Without any the threshold is THRESHOLD.
+    """
+    judged = labelled.filter(F.col("held") & F.col("value").rlike(f"^{CANDIDATE}$")).select("value", "random").distinct()
+    rated = judged.withColumn("ratio", ratio(F.col("value"), model))
+    cut = rated.filter(~F.col("random")).agg(F.percentile("ratio", 1 - most)).first()[0]
+    cut = THRESHOLD if cut is None else max(0.0, math.nextafter(cut, math.inf))
+    over = F.avg((F.col("ratio") >= cut).cast("double"))
+    shares = {r["random"]: r["share"] for r in rated.groupBy("random").agg(over.alias("share")).collect()}
+    return cut, shares.get(False, 0.0), shares.get(True, 0.0)
+
+
 def scanned(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """Every secret of every whole text, by column expressions alone.
 
