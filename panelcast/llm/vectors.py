@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
@@ -40,12 +41,16 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 def rotated(x: np.ndarray, number: int) -> np.ndarray:
     """A pseudo-random rotation: three rounds of random signs and a Hadamard transform. `number` names it."""
-    signs = np.random.default_rng([number, x.shape[1]]).choice(np.array([-1.0, 1.0]), (3, x.shape[1]))
-    for sign in signs:
+    for sign in _signs(number, x.shape[1]):
         x = hadamard(x * sign)
     return x
 
 
+@functools.lru_cache(maxsize=256)
+def _signs(number: int, width: int) -> np.ndarray:
+    return np.random.default_rng([number, width]).choice(np.array([-1.0, 1.0]), (3, width))
+
+
 def _padded(unit: np.ndarray) -> np.ndarray:
     size = 1 << (unit.shape[1] - 1).bit_length()
     return np.pad(unit, ((0, 0), (0, size - unit.shape[1])))
@@ -234,40 +239,53 @@ def _verified(near: DataFrame, nodes: DataFrame, similarity: float, tables: int,
     work = dealt.groupBy("dim", "key", "piece").agg(F.collect_list(F.struct("node", "copies", "block", "vector")).alias("items"))
     work = work.select("key", (F.col("piece.i") == F.col("piece.j")).alias("alone"), "items")
 
+    def linked(items: pa.Array, alone: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes, copies and vectors of a piece, and the places of its linked pairs."""
+        ids, copies, block = (items.field(k).to_numpy() for k in range(3))
+        unit = _unit(next(_by_width(items.field(3)))[1])
+        one = np.arange(len(ids)) if alone else np.flatnonzero(block == block.min())
+        two = one if len(one) == len(ids) else np.flatnonzero(block != block.min())
+        x, y = np.nonzero(unit[one] @ unit[two].T >= similarity)
+        x, y = one[x], two[y]
+        return (ids, copies, unit, x[x < y], y[x < y]) if two is one else (ids, copies, unit, x, y)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                items = batch.column(2)[row].values
-                ids, copies, block = (items.field(k).to_numpy() for k in range(3))
-                unit = _unit(next(_by_width(items.field(3)))[1])
-                one = np.arange(len(ids)) if batch.column(1)[row].as_py() else np.flatnonzero(block == block.min())
-                two = one if len(one) == len(ids) else np.flatnonzero(block != block.min())
-                here = batch.column(0)[row].as_py()
-                x, y = np.nonzero(unit[one] @ unit[two].T >= similarity)
-                x, y = one[x], two[y]
-                if two is one:
-                    x, y = x[x < y], y[x < y]
-                if not len(x):
-                    continue
-                keys = bucket_keys(unit, tables, hashes, probes)
+            pieces = [(batch.column(0)[k].as_py(), *linked(batch.column(2)[k].values, batch.column(1)[k].as_py())) for k in range(batch.num_rows)]
+            pieces = [piece for piece in pieces if len(piece[4])]
+            if not pieces:
+                continue
+            # the buckets of every vector that has a link, found once in the batch
+            some = [np.unique(np.concatenate([x, y])) for *_, x, y in pieces]
+            nodes, place = np.unique(np.concatenate([p[1][s] for p, s in zip(pieces, some, strict=True)]), return_index=True)
+            units: dict[int, list[np.ndarray]] = {}
+            where = np.zeros(len(nodes), np.int64)
+            rows = [row for p, s in zip(pieces, some, strict=True) for row in p[3][s]]
+            for k, at in enumerate(place.tolist()):
+                own = units.setdefault(len(rows[at]), [])
+                where[k] = len(own)
+                own.append(rows[at])
+            keys_of = {width: bucket_keys(np.array(own), tables, hashes, probes) for width, own in units.items()}
+            for here, ids, copies, unit, x, y in pieces:
+                keys = keys_of[unit.shape[1]]
                 links, above = np.zeros(len(ids), np.int64), {}
                 edges: list[tuple[np.ndarray, np.ndarray]] = []
                 for at in range(0, len(x), PAIRS):
                     p, q = x[at : at + PAIRS], y[at : at + PAIRS]
-                    first = _first_met(here, keys[p], keys[q])
+                    first = _first_met(here, *(keys[where[np.searchsorted(nodes, ids[side])]] for side in (p, q)))
                     p, q = p[first], q[first]
                     np.add.at(links, p, copies[q])
                     np.add.at(links, q, copies[p])
                     kept = _spanning(p, q, above)
                     edges.append((ids[p[kept]], ids[q[kept]]))
-                some = np.flatnonzero(links)
+                some_links = np.flatnonzero(links)
                 a, b = (np.concatenate([e[k] for e in edges]) for k in range(2))
-                none = np.zeros(len(some), np.int64)
+                none = np.zeros(len(some_links), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([ids[some], np.minimum(a, b)])),
-                        pa.array(np.concatenate([none, np.maximum(a, b)]), mask=np.arange(len(some) + len(a)) < len(some)),
-                        pa.array(np.concatenate([links[some], np.zeros(len(a), np.int64)])),
+                        pa.array(np.concatenate([ids[some_links], np.minimum(a, b)])),
+                        pa.array(np.concatenate([none, np.maximum(a, b)]), mask=np.arange(len(some_links) + len(a)) < len(some_links)),
+                        pa.array(np.concatenate([links[some_links], np.zeros(len(a), np.int64)])),
                     ],
                     names=["a", "b", "links"],
                 )

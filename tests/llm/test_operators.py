@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import string
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -248,11 +250,168 @@ def test_chat_round_trip(spark):
 
 
 def test_secrets(docs, nothing):
-    found = secrets.scanned(docs, secrets.learned(secrets.samples(docs)))
+    labelled = secrets.samples(docs)
+    found = secrets.scanned(docs, secrets.learned(labelled))
     rules = [("assign", re.compile(secrets.ASSIGN), 2, 12), ("access", re.compile(secrets.ACCESS), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16)]
     for row in found.select("doc_id", secrets.written(F.filter("found", lambda m: m["kind"] < 3)).alias("spans")).collect():
         texts = [t or "" for i, t in ROWS if i == row.doc_id]
         spans = sorted((m.start(), k, m.end()) for k, (_, p, g, least) in enumerate(rules) for m in p.finditer(texts[0]) if len(m[g]) >= least)
         assert row.spans == ",".join(f"{rules[k][0]}:{a}:{b}" for a, k, b in spans)
     assert found.count() == len(ROWS)
-    assert secrets.scanned(nothing, secrets.learned(secrets.samples(nothing))).count() == 0
+    none = secrets.samples(nothing)
+    assert secrets.scanned(nothing, secrets.learned(none)).count() == 0
+    assert secrets.calibrated(none, secrets.learned(none)) == (secrets.THRESHOLD, 0.0, 0.0)
+
+
+def ordinary_names(rng, many):
+    """Identifiers of other words than the learned texts have."""
+    out = []
+    for k in range(many):
+        words = [str(w) for w in rng.choice(ENGLISH_NAMES[1::2], 3 + k % 3)]
+        out.append(["".join(w.capitalize() for w in words), "_".join(words), "-".join(words), "/" + "/".join(words), "_".join(words).upper()][k % 5])
+    return [name for name in out if len(name) >= 16]
+
+
+ENGLISH_NAMES = (
+    "account address average balance buffer builder channel client column config connection container context controller counter current customer "
+    "default delivery directory document element exception factory filter handler header helper identifier index instance interface iterator "
+    "language listener location manager message method module network number object option order package parameter parser password pattern "
+    "payment performance permission pipeline policy position process product profile project property protocol provider query queue random "
+    "reader record region register report request resource response result schedule schema search section select sequence server service session"
+).split()
+
+
+def test_markov_spans_find_random_strings_and_leave_names(spark):
+    """Precision and recall of the spans that the models add, on names and random strings that they have not seen."""
+    rng = np.random.default_rng(17)
+    spoken = [*PROSE, *ENGLISH_NAMES[::2]]  # the names below are made of the other words
+    prose = [" ".join(str(w) for w in rng.choice(spoken, 120)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(prose)), "doc_id long, text string")
+    labelled = secrets.samples(docs)
+    model = secrets.learned(labelled)
+    threshold, wrong, right = secrets.calibrated(labelled, model)
+    assert wrong <= 0.02 and right >= 0.9
+    alphabets = [string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits]
+    random = ["".join(str(c) for c in rng.choice(list(alphabets[k % 3]), 20 + k % 20)) for k in range(300)]
+    names = ordinary_names(rng, 400)
+    asked = [(k, f"see {v} here") for k, v in enumerate([*random, *names])]
+    found = secrets.scanned(spark.createDataFrame(asked, "doc_id long, text string"), model, threshold)
+    spans = dict(rows_of(found.select("doc_id", secrets.written(F.col("found")).alias("spans")), "doc_id", "spans"))
+    hits = sum("markov" in spans[k] or "hex" in spans[k] for k in range(len(random)))
+    false = sum(spans[len(random) + k] != "" for k in range(len(names)))
+    assert hits >= 0.95 * len(random), hits
+    assert false <= 0.05 * len(names), (false, len(names))
+    for k, value in enumerate(random):
+        if spans[k].startswith("markov") and "," not in spans[k]:
+            start, end = map(int, spans[k].split(":")[1:])
+            assert asked[k][1][start:end] == value
+
+
+PROSE = (
+    "about after again against all along also always among another answer around because become before began begin being below between both bring "
+    "called came cannot change children city close come could country course cover cross different does done door down draw drive during each early "
+    "earth enough even every example eyes face family far father feet field figure final fire first five follow food form found four friend from front "
+    "full gave general girl give good government great green ground group grow half hand hard have head hear heard heat help here high hold home horse "
+    "hour house hundred idea inch interest island just keep kind king knew know land language large last late laugh lead learn leave left letter life "
+    "light like line list listen little live long look machine made make many map mark mean measure might mile mind money moon morning most mother mountain"
+).split()
+
+
+def test_sharding_by_hand(spark):
+    """Sizes and checksums of the contract, and that a rack's new weight moves only keys of its region."""
+    rows = spark.createDataFrame([(i, t) for i, t in ROWS], "doc_id long, text string")
+    for r in sharding.sharded(rows).collect():
+        texts = [(t or "").encode() for i, t in ROWS if i == r.doc_id]
+        assert (r.size, r.text_crc32) in {(len(t) + 1, zlib.crc32(t)) for t in texts} and r.law == "key" and 0 <= r.shard < 8
+
+
+def test_quality_scores_by_hand(spark):
+    """Lines, scores, threshold and verdicts against plain counts; rejection of documents that the models have not seen."""
+    rng = np.random.default_rng(8)
+
+    def sentences(words):
+        return [" ".join(str(w) for w in rng.choice(words, 12)) for _ in range(60)]
+
+    good, junk = sentences(PROSE), sentences([f"x{k}q{k % 7}z" for k in range(150)])
+
+    def text(known):
+        return "\n".join(str(s) for s in rng.choice(known, 6, replace=False))
+
+    texts = [text(good) for _ in range(120)] + [text(junk) for _ in range(80)] + [None, "", "a b\na b\n\na b\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    trusted = docs.filter("doc_id < 60").select("doc_id")
+    found = {r.doc_id: r for r in quality.judged(docs, trusted).collect()}
+    for i, t in enumerate(texts):
+        lines_seen, copies = set(), 0
+        for line in (t or "").split("\n"):
+            copies += line in lines_seen and bool(line.strip())
+            lines_seen.add(line)
+        assert found[i].n_dup_lines == copies
+        assert found[i].kept == (not found[i].base_failed and found[i].score is not None and found[i].score >= found[i].threshold)
+    unseen_good = [found[i].kept for i in range(60, 120)]
+    unseen_bad = [found[i].kept for i in range(120, 200)]
+    assert np.mean(unseen_good) > 0.8 and np.mean(unseen_bad) < 0.05
+
+
+def test_chat_keeps_ids_and_rows_apart(spark):
+    """Large ids beside a null one, null and tied turns, and columns with the operator's names."""
+    big = 2**53
+    rows = [(big, 0, "user", "a"), (big + 1, 0, "user", "b"), (None, 0, "user", "c"), (1, None, "user", "first"), (1, 0, "assistant", "second")]
+    rows += [(2, 5, "user", "same"), (2, 5, "user", "same"), (3, 1, "assistant", "y"), (3, 1, "assistant", "x")]
+    turns = spark.createDataFrame([(*r, "p", 1) for r in rows], "conv_id long, turn long, role string, text string, piece string, loss int")
+    found = {r.conv_id: r for r in chat.read_back(chat.formatted(turns)).collect()}
+
+    def digest(*said):
+        return hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in said).encode()).hexdigest()
+
+    assert found[big].turns_sha256 == digest(("user", "a")) and found[big + 1].turns_sha256 == digest(("user", "b"))
+    assert found[None].turns_sha256 == digest(("user", "c"))
+    assert found[1].turns_sha256 == digest(("user", "first"), ("assistant", "second"))
+    assert found[2].turns_sha256 == digest(("user", "same"), ("user", "same"))
+    assert found[3].turns_sha256 == digest(("assistant", "x"), ("assistant", "y"))
+    assert len(found) == 6
+
+
+def test_line_dedup_tells_rows_by_where_the_null_is(spark):
+    words = passage(40, 30)
+    rows = [(1, None, words), (1, words, None), (2, words, "z"), (3, None, None)]
+    found = lines.without_copies(spark.createDataFrame(rows, "doc_id long, text string, note string")).collect()
+    assert Counter((r.doc_id, r.text) for r in found) == Counter([(1, None), (1, words), (2, ""), (3, None)])
+
+
+def test_language_with_hundreds_of_letters(spark):
+    """Three languages of disjoint letters, 460 in all: none is taken for another, and long texts are parsed whole."""
+    rng = np.random.default_rng(12)
+    sets = {"aa": [chr(0x4E00 + k) for k in range(260)], "bb": [chr(0xAC00 + k) for k in range(100)], "cc": [chr(0x1401 + k) for k in range(100)]}
+
+    def speech(lang, n):
+        return " ".join("".join(str(c) for c in rng.choice(sets[lang], 3)) for _ in range(n))
+
+    rows = [(k, speech(lang, 120), lang) for k, lang in enumerate(["aa", "bb", "cc"] * 30)]
+    learned = language.samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ~language.held_out())
+    asked = [(k, speech(lang, 40 if k < 57 else 4000), lang) for k, lang in enumerate(["aa", "bb", "cc"] * 20)]
+    found = language.identified(spark.createDataFrame(asked, "doc_id long, text string, lang string"), learned)
+    assert dict(rows_of(found, "doc_id", "lang_pred")) == {k: lang for k, _, lang in asked}
+
+
+@pytest.mark.parametrize("block", [1, 3, 50, 1024])
+def test_phrases_do_not_depend_on_blocks(block):
+    """The number of phrases of a text is that of one greedy parse, also where blocks cut phrases or texts repeat."""
+    rng = np.random.default_rng(6)
+    for letters in ("ab ", "abcdefgh  "):
+        sample = "".join(str(c) for c in rng.choice(list(letters), 300))
+        texts = ["".join(str(c) for c in rng.choice(list(letters + "xy"), n)) for n in (0, 1, 40, 700, 3000)] + [sample * 3, "ab" * 2000]
+        alphabet = language.Alphabet([sample])
+        codes, ends = alphabet.coded(texts)
+        automaton = language.Automaton(alphabet.coded([sample])[0].tolist(), alphabet.size)
+        known = re.sub(r"[\W\d_]+", " ", sample)
+        expected = []
+        for text in texts:
+            plain, count, at = re.sub(r"[\W\d_]+", " ", text), 0, 0
+            while at < len(plain):
+                size = 1
+                while at + size < len(plain) and plain[at : at + size + 1] in known:
+                    size += 1
+                count, at = count + 1, at + size
+            expected.append(count)
+        assert language.phrases(codes, ends, automaton, block).tolist() == expected
