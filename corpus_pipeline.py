@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from panelcast.llm import language, lines, mixing, near, packing
 from panelcast.llm.common import sieved, stored
@@ -42,19 +41,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, that with the smallest doc_id; of repeated rows, one.
+    """Keeps one document of each group of near duplicates: that with the smallest doc_id, of those the smallest SHA-256 of its text.
 
-    A document without words is in no group and stays.
+    Groups are of rows, whatever their doc_ids: rows with the same doc_id, or none, and texts that are not alike all stay. Of equal
+    rows with words one stays. A null doc_id comes after all others. A document without words is in no group and stays.
     """
-    groups = stored(near.near_groups(docs), "groups")
-    ids = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
-    unsure = stored(ids.filter("n > 1 or not kept"), "unsure")
-    some, sure = sieved(docs.select("doc_id", _row(docs).alias("input")), "doc_id", unsure)
-    joined = some.join(unsure.select(F.col("doc_id").alias("id"), "n", "kept"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    words = F.coalesce(F.col("input.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    joined = joined.filter(F.coalesce("kept", F.lit(True))).withColumn("words", words)
-    first = F.row_number().over(Window.partitionBy("doc_id", "words").orderBy(F.col("input.text")))
-    kept = joined.withColumn("turn", first).filter(~F.col("words") | (F.col("turn") == 1)).select("input").unionByName(sure.select("input"))
+    keyed = stored(docs.select(F.monotonically_increasing_id().alias("row"), _row(docs).alias("input")), "near")
+    grouped = near.near_groups(keyed.select("row", F.col("input.text").alias("text")), key="row").select("row", F.col("component_id").alias("group"))
+    groups = stored(grouped, "groups")
+    many = groups.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select("group")
+    members = groups.join(many, "group")
+    order = keyed.select("row", F.struct(F.col("input.doc_id").isNull().alias("none"), F.col("input.doc_id").alias("id"), F.sha2("input.text", 256).alias("text"), "row").alias("place"))
+    placed = stored(members.join(order, "row"), "places")
+    first = placed.groupBy("group").agg(F.min("place").alias("first"))
+    gone = stored(placed.join(first, "group").filter(F.col("row") != F.col("first.row")).select("row"), "gone")
+    some, sure = sieved(keyed, "row", gone)
+    kept = some.join(gone, "row", "left_anti").select("input").unionByName(sure.select("input"))
     return kept.select(*[F.col("input")[c].alias(c) for c in docs.columns])
 
 
