@@ -12,9 +12,10 @@ from collections import Counter
 
 import duckdb
 
-from panelcast.catalog import REGISTRY, SQL
+from __spark_entry__ import oracle_sql, queries
 from panelcast.session import build_session
 
+REGISTRY, SQL = queries(), oracle_sql()
 TABLES = [
     "region",
     "nation",
