@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelcast.catalog import cleaning, forecasts, frames, joins, learned, resampling, scores, sources, streams
+from panelcast.catalog import cleaning, forecasts, frames, joins, learned, resampling, scores, sources, streams, wide
 from panelcast.catalog.registry import REGISTRY, SQL
 
 __all__ = [
@@ -17,4 +17,5 @@ __all__ = [
     "scores",
     "sources",
     "streams",
+    "wide",
 ]
