@@ -29,16 +29,24 @@ from panelcast.catalog.inputs import (
 from panelcast.catalog.registry import query
 from panelcast.operators.autoreg import (
     dickey_fuller,
+    extended_sums,
     fit,
     fit_first_order,
+    fit_moving,
     fitted_first_order,
     forecast_drivers,
     forecast_first_order,
+    forecast_moving,
     refit_each_day,
+    refit_selected,
+    saved_sums,
     seasonal_naive,
     select_model,
+    solved_sums,
 )
+from panelcast.operators import foldfits
 from panelcast.operators.clean import before
+from panelcast.operators.foldfits import backtest_frozen, fold_models
 from panelcast.operators.folds import (
     backtest_first_order,
     chronological_split,
@@ -49,8 +57,10 @@ from panelcast.operators.folds import (
 from panelcast.operators.frames import next_day, window_features
 from panelcast.operators.resample import daily, day_span
 from panelcast.operators.scores import average_over
+from panelcast.plans.evaluation import evaluation_scores
 from panelcast.plans.features import FeatureSpec
 from panelcast.plans.forecasting import future_features, future_rows
+from panelcast.session import materialise
 
 DAY = "strftime(day, '%Y-%m-%d') AS day"
 KEYS = ["series_id"]
@@ -147,6 +157,41 @@ def ar_seasonal_fit(spark: SparkSession, sf: str) -> DataFrame:
     return two_terms(fit(full_panel(spark, sf), KEYS, "y", [1, 7]))
 
 
+@query(
+    "ar_extend",
+    f"WITH {FULL}, design AS (SELECT series_id, y, lag(y, 1) OVER w AS a, lag(y, 7) OVER w AS b FROM full_panel {W}), {TWO}",
+)
+def ar_extend(spark: SparkSession, sf: str) -> DataFrame:
+    """A fit from saved sums of the days up to a date and the days after it, as if all had been read."""
+    rows, lags = stored_panel(spark, sf), [1, 7]
+    saved = materialise(spark, saved_sums(before(rows, F.lit(CUTOFF)), KEYS, "y", lags), "sums")
+    extended = extended_sums(saved, rows.where(F.col("day") >= F.lit(CUTOFF)), KEYS, "y", lags)
+    return two_terms(solved_sums(extended, KEYS, 3))
+
+
+@query(
+    "arma_fit",
+    f"""SELECT series_id, n, round(rss, 1) AS rss FROM (
+    WITH {PAIRS}, long AS (SELECT series_id, regr_slope(y, x) AS phi, regr_intercept(y, x) AS c FROM pairs GROUP BY 1),
+    left_over AS (SELECT series_id, day, y, x, y - c - phi * x AS e FROM pairs JOIN long USING (series_id)),
+    design AS (SELECT series_id, y, x AS a, lag(e) OVER w AS b FROM left_over {W}), {TWO})""",
+)
+def arma_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """One lag and one moving-average term; the errors of the first stage come from one lag, as SQL can say that.
+
+    On these values both terms nearly cancel, so the errors are compared and not the terms.
+    """
+    return two_terms(fit_moving(stored_panel(spark, sf), KEYS, "y", [1], [1], [1])[0]).select("series_id", "n", r("rss", 1).alias("rss"))
+
+
+@query("arma_forecast")
+def arma_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """A week ahead by lags of a day and a week and two moving-average terms, errors from the last 14 days."""
+    model, rows = fit_moving(stored_panel(spark, sf), KEYS, "y", [1, 7], [1, 7])
+    ahead = forecast_moving(materialise(spark, rows, "errors"), model, KEYS, "y", [1, 7], [1, 7], 7)
+    return ahead.withColumns({"day": iso("day"), "forecast": r("forecast")})
+
+
 @query(
     "arx_fit",
     f"""WITH {MEASURES}, design AS (
@@ -279,6 +324,82 @@ def backtest_refit(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("series_id", iso("day").alias("day"), "y", r("forecast").alias("forecast"))
 
 
+TWO_LAGS = f"""{FULL}, design AS (
+  SELECT series_id, day, y, lag(y, 1) OVER w AS a, lag(y, 7) OVER w AS b,
+    last_value(y IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM full_panel {W}),
+known AS (
+  SELECT series_id, day, y, coalesce(a, before) AS x1, coalesce(b, before) AS x2, y IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL AS k,
+    CASE WHEN k THEN y END AS ky, CASE WHEN k THEN a END AS ka, CASE WHEN k THEN b END AS kb FROM design),
+grown AS (
+  SELECT series_id, day, y, x1, x2, count(ky) OVER e AS n, avg(ky) OVER e AS my, avg(ka) OVER e AS ma, avg(kb) OVER e AS mb,
+    covar_pop(ka, ka) OVER e AS saa, covar_pop(kb, kb) OVER e AS sbb, covar_pop(ka, kb) OVER e AS sab,
+    covar_pop(ka, ky) OVER e AS say, covar_pop(kb, ky) OVER e AS sby
+  FROM known WINDOW e AS (PARTITION BY series_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+fits AS (
+  SELECT *, (sbb * say - sab * sby) / (saa * sbb - sab * sab) AS ba, (saa * sby - sab * say) / (saa * sbb - sab * sab) AS bb FROM grown),
+refitted AS (
+  SELECT series_id, day, y, CASE WHEN n >= 5 THEN my - ba * ma - bb * mb + ba * x1 + bb * x2 END AS forecast FROM fits)"""
+
+
+def refitted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every day forecast by yesterday and the same day of last week, refitted on all days before it."""
+    rows = stored_panel(spark, sf).select("series_id", "day", "y")
+    orders = rows.select("series_id").distinct().withColumns({"lags": F.array(F.lit(1), F.lit(7)), "d": F.lit(0)})
+    return refit_selected(rows, orders, KEYS, "y", [[1, 7]])
+
+
+@query("backtest_refit_lags", f"WITH {TWO_LAGS} SELECT series_id, {DAY}, y, round(forecast, 4) AS forecast FROM refitted")
+def backtest_refit_lags(spark: SparkSession, sf: str) -> DataFrame:
+    return refitted(spark, sf).withColumns({"day": iso("day"), "forecast": r("forecast")})
+
+
+# the evaluated range: classes are value bands, of the actual and of the forecast mean
+RESULTS = f"""{TWO_LAGS}, results AS (
+  SELECT series_id, day, y AS actual, forecast AS predicted, {BAND.format('y')} AS a, {BAND.format('forecast')} AS p
+  FROM refitted WHERE day BETWEEN DATE '2000-01-01' AND DATE '2001-06-02' AND y IS NOT NULL AND forecast IS NOT NULL)"""
+
+
+def results(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    inside = F.col("day").between(F.lit(date(2000, 1, 1)), F.lit(date(2001, 6, 2)))
+    rows = refitted(spark, sf).where(inside).withColumnsRenamed({"y": "actual_mean", "forecast": "predicted_mean"})
+    rows = rows.withColumns({"actual_label": band(F.col("actual_mean")), "predicted_label": band(F.col("predicted_mean"))})
+    return evaluation_scores(rows, [0, 1, 2, 3])
+
+
+@query(
+    "historical_metrics",
+    f"""WITH {RESULTS} SELECT count(*) AS n, round(avg(abs(predicted - actual)), 6) AS mae,
+      round(sqrt(avg((predicted - actual) * (predicted - actual))), 6) AS rmse, round(avg(predicted - actual), 6) + 0.0 AS bias,
+      round(avg(CASE WHEN a = p THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM results""",
+)
+def historical_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors and accuracy of a past range, over its complete days."""
+    scores = results(spark, sf)
+    return rounded(scores["mean"].join(scores["accuracy"], "n"), ["mae", "rmse", "bias", "accuracy"], 6)
+
+
+@query(
+    "historical_report",
+    f"""WITH {RESULTS}, labels AS (SELECT a AS label FROM results UNION SELECT p FROM results),
+    counts AS (
+      SELECT label, (SELECT count(*) FROM results WHERE a = label) AS support, (SELECT count(*) FROM results WHERE p = label) AS named,
+        (SELECT count(*) FROM results WHERE a = label AND p = label) AS hits FROM labels),
+    rated AS (
+      SELECT CAST(label AS VARCHAR) AS label, coalesce(hits / nullif(named, 0), 0) AS precision,
+        coalesce(hits / nullif(support, 0), 0) AS recall, coalesce(2 * hits / nullif(named + support, 0), 0) AS f1, support FROM counts),
+    report AS (
+      SELECT * FROM rated
+      UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM rated
+      UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+        sum(f1 * support) / sum(support), sum(support) FROM rated)
+    SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support
+    FROM report""",
+)
+def historical_report(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(results(spark, sf)["report"], ["precision", "recall", "f1"], 6)
+
+
 DIRECT = f"""{PAIRS}, totals AS (
   SELECT series_id, first_day, CAST(date_diff('day', first_day, last_day) + 1 AS INTEGER) AS total FROM spans),
 numbers AS (SELECT CAST(unnest(range(0, 10)) AS INTEGER) AS i),
@@ -308,6 +429,37 @@ def backtest_direct(spark: SparkSession, sf: str) -> DataFrame:
     return direct(spark, sf).withColumns({"day": iso("day"), "forecast": r("forecast")})
 
 
+FROZEN = f"""{DIRECT}, frozen AS (
+  SELECT p.series_id, f.fold, p.day, p.y, c + phi * p.before AS forecast
+  FROM folds f JOIN model m ON m.series_id = f.series_id AND m.fold = f.fold
+  JOIN (
+    SELECT *, last_value(y IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+    FROM pairs) p ON p.series_id = f.series_id AND p.day BETWEEN f.test_start AND f.test_end)"""
+
+
+@query("backtest_frozen", f"WITH {FROZEN} SELECT series_id, fold, {DAY}, y, round(forecast, 4) AS forecast FROM frozen")
+def backtest_with_frozen_models(spark: SparkSession, sf: str) -> DataFrame:
+    """The coefficients of a fold's training days, the state renewed with every test day."""
+    rows = stored_panel(spark, sf).select("series_id", "day", "y")
+    folds = folds_last(day_span(rows, KEYS), KEYS)
+    models = fold_models(rows, folds, KEYS, "y", [[1]], difference=False)
+    tested = backtest_frozen(rows, folds, models, KEYS, "y", [[1]])
+    return tested.select("series_id", "fold", iso("day").alias("day"), "y", r("forecast").alias("forecast"))
+
+
+@query("backtest_selected")
+def backtest_selected(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors of the frozen and the direct protocol per fold, orders and differencing chosen on each fold's training days."""
+    rows = stored_panel(spark, sf).select("series_id", "day", "y")
+    folds = folds_every(day_span(rows, KEYS), KEYS)
+    models = materialise(spark, fold_models(rows, folds, KEYS, "y"), "models")
+    frozen = backtest_frozen(rows, folds, models, KEYS, "y", name="frozen")
+    ahead = foldfits.backtest_direct(rows, folds, models, KEYS, "y", name="direct").drop("y")
+    both = frozen.join(ahead, ["series_id", "fold", "day"])
+    errors = both.groupBy("series_id", "fold").agg(*[F.avg(F.abs(F.col(n) - F.col("y"))).alias(f"{n}_mae") for n in ("frozen", "direct")])
+    return errors.join(models.select("series_id", "fold", "d", F.concat_ws(",", "lags").alias("lags")), ["series_id", "fold"])
+
+
 @query(
     "backtest_summary",
     f"""WITH {DIRECT}, per_fold AS (
