@@ -11,22 +11,22 @@ from pyspark.sql import functions as F
 
 from panelcast.catalog.inputs import MEASURES, iso, measures, rounded, stored_measures, table
 from panelcast.catalog.registry import query
-from panelcast.operators.autoreg import select_model
 from panelcast.operators.cluster import choose_k, fit_labels, nearest_centre, score_candidates, silhouette
-from panelcast.operators.folds import chronological_split
-from panelcast.operators.forests import apply_model, class_weights, fit_classifier, fit_regressor
-from panelcast.operators.resample import fill_gaps
+from panelcast.operators.folds import folds_or_split
+from panelcast.operators.forests import apply_model, class_weights, fit_classifier
+from panelcast.operators.resample import day_span, fill_gaps
 from panelcast.operators.scaling import Scaler, fit_scaler
-from panelcast.plans.evaluation import backtest_models, evaluate_range, save_evaluation
+from panelcast.plans.evaluation import SCORES, backtest_average, backtest_models, evaluate_range, evaluation_scores, save_evaluation
 from panelcast.plans.features import FeatureSpec
 from panelcast.plans.forecasting import forecast_days
 from panelcast.plans.training import (
     Bundle,
     TrainSpec,
     fit_models,
+    label_days,
+    split_parts,
     train_bundle,
     train_if_missing,
-    training_rows,
     with_high_low,
 )
 from panelcast.session import fresh_path, materialise
@@ -42,9 +42,9 @@ FEATURES = FeatureSpec(
     pairs={"temp_x_humidity": ("temperature", "humidity"), "wind_x_cloud": ("wind", "cloud")},
     poly=["temperature", "wind"],
 )
-TRAIN = TrainSpec(LABEL_FEATURES, "temperature_max", "temperature_min", "cloud", k=4, depth=10)
-# the whole-pipeline queries take fewer trees than the forest queries; README names the times that speak against more
-PIPELINE = replace(TRAIN, trees=20)
+TRAIN = TrainSpec(LABEL_FEATURES, "temperature_max", "temperature_min", "cloud")
+# queries that fit many forests take smaller ones; README names the times of both sizes
+SMALLER = replace(TRAIN, trees=20, depth=10)
 CUTOFF = date(2000, 7, 1)
 
 
@@ -52,9 +52,12 @@ def daily_measures(spark: SparkSession, sf: str) -> DataFrame:
     return materialise(spark, fill_gaps(measures(spark, sf), KEYS), "measures")
 
 
-def feature_rows(spark: SparkSession, sf: str) -> DataFrame:
+def split_by_share(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Feature rows of the first 80 % of the days of each series, and of the rest; all that is fitted comes from the first part."""
     daily = daily_measures(spark, sf)
-    return training_rows(spark, daily, select_model(daily, KEYS, FEATURES.mean), FEATURES, TRAIN)
+    whole = day_span(daily, KEYS)
+    # no series is long enough for windows, so each is split once
+    return split_parts(spark, daily, folds_or_split(whole, KEYS, train_days=1 << 30), FEATURES, TRAIN)
 
 
 SCALED = ", ".join(f"round(({c} - m_{c}) / d_{c}, 6) + 0.0 AS {c}" for c in POINT)
@@ -92,7 +95,7 @@ def standardize_apply(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CENTRES = """centres AS (
-  SELECT series_id, row_number() OVER (ORDER BY series_id) - 1 AS label, round(avg(temperature), 6) AS c1,
+  SELECT quarter(day) - 1 AS label, round(avg(temperature), 6) AS c1,
     round(avg(humidity), 6) AS c2, round(avg(wind), 6) AS c3, round(avg(cloud), 6) AS c4 FROM measures GROUP BY 1)"""
 NEAREST = f"""{MEASURES}, {CENTRES}, distances AS (
   SELECT m.*, c.label, (temperature - c1) * (temperature - c1) + (humidity - c2) * (humidity - c2)
@@ -103,9 +106,10 @@ assigned AS (
 
 
 def stored_centres(rows: DataFrame) -> list[tuple[int, list[float]]]:
-    """One centre per series: the mean of its days."""
-    means = rows.groupBy("series_id").agg(*[F.round(F.avg(c), 6).alias(c) for c in POINT]).orderBy("series_id").collect()
-    return [(i, [m[c] for c in POINT]) for i, m in enumerate(means)]
+    """Four centres: the means of the days of each quarter of the year."""
+    by_quarter = rows.groupBy((F.quarter("day") - 1).alias("label"))
+    means = by_quarter.agg(*[F.round(F.avg(c), 6).alias(c) for c in POINT]).orderBy("label").collect()
+    return [(m["label"], [m[c] for c in POINT]) for m in means]
 
 
 @query(
@@ -165,38 +169,40 @@ def balanced_weights(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(class_weights(rows, "label"), ["weight"], 6)
 
 
-def labelled_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Feature rows with a class, split by time within each series."""
-    rows = feature_rows(spark, sf)
-    labelled = fit_labels(rows, LABEL_FEATURES, TRAIN.k).transform(rows)
-    parts = materialise(spark, chronological_split(labelled.drop("features", "scaled"), KEYS), "parts")
-    return parts.where(F.col("part") == "train"), parts.where(F.col("part") == "test")
-
-
 @query("rf_classify")
 def rf_classify(spark: SparkSession, sf: str) -> DataFrame:
-    train, test = labelled_parts(spark, sf)
-    model = fit_classifier(train, FEATURES.columns, "label", TRAIN.trees, TRAIN.depth)
-    return apply_model(model, test, ["series_id", "day", "label", "predicted_label"])
+    """The class of the test days by a balanced forest; classes are those of the training days' clusters."""
+    train, test = split_by_share(spark, sf)
+    labels = fit_labels(train, LABEL_FEATURES, TRAIN.k)
+    labelled = label_days(train, labels, FEATURES, TRAIN.label_lead)
+    model = fit_classifier(labelled, FEATURES.columns, "label", TRAIN.trees, TRAIN.depth)
+    return apply_model(model, label_days(test, labels, FEATURES, TRAIN.label_lead), ["series_id", "day", "label", "predicted_label"])
 
 
 @query("rf_regress")
 def rf_regress(spark: SparkSession, sf: str) -> DataFrame:
-    train, test = labelled_parts(spark, sf)
-    inputs = ["mean_forecast", "label", "cloud", "season_Spring", "season_Summer", "season_Winter"]
-    keep = ["series_id", "day"]
-    out = test
-    for target, name in (("temperature_max", "predicted_maximum"), ("temperature_min", "predicted_minimum")):
-        model = fit_regressor(train, inputs, target, name, TRAIN.trees, TRAIN.high_low_depth)
-        out = model.transform(out).drop(f"{name}_features")
-    return out.select(*keep, "temperature_max", "predicted_maximum", "temperature_min", "predicted_minimum")
+    """Maximum and minimum of the test days from the mean forecast, the predicted class, cloud and season."""
+    train, test = split_by_share(spark, sf)
+    scored = with_high_low(Bundle(fit_models(train, FEATURES, SMALLER), {}), test)
+    return scored.select("series_id", "day", "temperature_max", "predicted_maximum", "temperature_min", "predicted_minimum")
 
 
 @query("stacked_minmax")
 def stacked_minmax(spark: SparkSession, sf: str) -> DataFrame:
-    rows = feature_rows(spark, sf)
-    train, test = rows.where(F.col("day") < F.lit(CUTOFF)), rows.where(F.col("day") >= F.lit(CUTOFF))
-    scored = with_high_low(Bundle(fit_models(train, FEATURES, PIPELINE), {}), test)
+    """The same for all days from a date on, k by silhouette, the class of the next day as the classifier's target."""
+    daily = daily_measures(spark, sf)
+    span = day_span(daily, KEYS).where((F.col("first_day") < F.lit(CUTOFF)) & (F.col("last_day") >= F.lit(CUTOFF)))
+    fold = span.select(
+        "series_id",
+        F.lit(1).alias("fold"),
+        F.col("first_day").alias("train_start"),
+        F.date_sub(F.lit(CUTOFF), 1).alias("train_end"),
+        F.lit(CUTOFF).alias("test_start"),
+        F.col("last_day").alias("test_end"),
+    )
+    spec = replace(SMALLER, k=None, label_lead=1)
+    train, test = split_parts(spark, daily, fold, FEATURES, spec)
+    scored = with_high_low(Bundle(fit_models(train, FEATURES, spec), {}), test)
     return scored.select("series_id", "day", "predicted_label", "predicted_maximum", "predicted_minimum")
 
 
@@ -220,8 +226,8 @@ def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 @query("train_if_missing")
 def train_when_missing(spark: SparkSession, sf: str) -> DataFrame:
     daily, path = daily_measures(spark, sf), fresh_path(spark, "bundle")
-    _, first = train_if_missing(spark, path, daily, FEATURES, PIPELINE)
-    bundle, second = train_if_missing(spark, path, daily, FEATURES, PIPELINE)
+    _, first = train_if_missing(spark, path, daily, FEATURES, SMALLER)
+    bundle, second = train_if_missing(spark, path, daily, FEATURES, SMALLER)
     model = bundle.tables["forecaster"].select("series_id", F.concat_ws(",", "lags").alias("lags"))
     return model.withColumns({"trained_first": F.lit(int(first)), "trained_again": F.lit(int(second))})
 
@@ -229,20 +235,33 @@ def train_when_missing(spark: SparkSession, sf: str) -> DataFrame:
 @query("forecast_7d")
 def forecast_7d(spark: SparkSession, sf: str) -> DataFrame:
     daily = daily_measures(spark, sf)
-    bundle = train_bundle(spark, daily, FEATURES, PIPELINE)
-    return forecast_days(daily, bundle, FEATURES, PIPELINE, 7, ["humidity", "wind", "cloud"])
+    bundle = train_bundle(spark, daily, FEATURES, TRAIN)
+    return forecast_days(daily, bundle, FEATURES, TRAIN, 7, ["humidity", "wind", "cloud"])
 
 
-@query("historical_evaluation")
-def historical_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+def evaluated(spark: SparkSession, sf: str) -> DataFrame:
     daily = daily_measures(spark, sf)
     start, end = date(2001, 1, 1), date(2001, 6, 2)
-    bundle = train_bundle(spark, daily.where(F.col("day") < F.lit(start)), FEATURES, PIPELINE)
-    results = evaluate_range(daily, bundle, FEATURES, PIPELINE, start, end)
+    bundle = train_bundle(spark, daily.where(F.col("day") < F.lit(start)), FEATURES, SMALLER)
+    results = evaluate_range(daily, bundle, FEATURES, SMALLER, start, end)
     return save_evaluation(spark, results, fresh_path(spark, "evaluation"), start)
 
 
+@query("historical_evaluation")
+def historical_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluated(spark, sf)
+
+
+@query("historical_scores")
+def historical_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors of the mean and accuracy of the class over the complete days of the evaluation."""
+    scores = evaluation_scores(evaluated(spark, sf), list(range(SMALLER.k)))
+    return scores["mean"].join(scores["accuracy"], "n").withColumnRenamed("n", "days")
+
+
 @query("backtest_models")
 def backtest_forests(spark: SparkSession, sf: str) -> DataFrame:
-    windows = [(date(2001, 4, 1), date(2001, 4, 30)), (date(2001, 5, 1), date(2001, 5, 30))]
-    return backtest_models(feature_rows(spark, sf), windows, FEATURES, PIPELINE)
+    """One row per 60-day fold, and the averages over them as fold 0."""
+    scores = backtest_models(spark, daily_measures(spark, sf), FEATURES, SMALLER)
+    average = backtest_average(scores).select(F.lit(0).alias("fold"), F.col("sessions").alias("days"), *SCORES)
+    return scores.unionByName(average)

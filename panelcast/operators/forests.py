@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,14 +24,12 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.select(label, "n", (total / (classes * F.col("n"))).alias("weight"))
 
 
-def fit_on_vectors(stages: list, forest, rows: DataFrame, columns: list[str]) -> PipelineModel:
-    """Fit a forest on assembled vectors alone; it passes over them several times, so they are kept meanwhile."""
-    prepared = Pipeline(stages=stages).fit(rows)
-    vectors = prepared.transform(rows).select(*columns).persist()
-    try:
-        return PipelineModel(stages=[*prepared.stages, forest.fit(vectors)])
-    finally:
-        vectors.unpersist()
+def weight_column(weights: dict[float, float], label: str) -> Column:
+    """The weight of a row's class; the few classes enter the plan as literals, not as a join."""
+    out = F.lit(None).cast("double")
+    for value, weight in sorted(weights.items()):
+        out = F.when(F.col(label) == F.lit(value), F.lit(weight)).otherwise(out)
+    return out
 
 
 def fit_classifier(
@@ -43,10 +41,11 @@ def fit_classifier(
     seed: int = 42,
     prediction: str = "predicted_label",
 ) -> PipelineModel:
-    """Standardise, then a forest whose rows weigh by class; rows with gaps are not used."""
-    rows = df.dropna(subset=[*features, label])
-    weighted = rows.join(class_weights(rows, label).select(label, "weight"), label)
-    weighted = weighted.withColumn(label, F.col(label).cast("double"))
+    """Standardise, then a forest whose rows weigh by class; rows with gaps are not used.
+
+    The forest passes over assembled vectors several times, so they alone are kept meanwhile; classes are counted on them.
+    """
+    rows = df.dropna(subset=[*features, label]).withColumn(label, F.col(label).cast("double"))
     forest = RandomForestClassifier(
         numTrees=trees,
         maxDepth=depth,
@@ -58,7 +57,14 @@ def fit_classifier(
         rawPredictionCol="raw",
         probabilityCol="probability",
     )
-    return fit_on_vectors(vector_stages(features), forest, weighted, ["scaled", label, "weight"])
+    prepared = Pipeline(stages=vector_stages(features)).fit(rows)
+    vectors = prepared.transform(rows).select("scaled", label).persist()
+    try:
+        weights = {r[label]: r["weight"] for r in class_weights(vectors, label).collect()}
+        model = forest.fit(vectors.withColumn("weight", weight_column(weights, label)))
+    finally:
+        vectors.unpersist()
+    return PipelineModel(stages=[*prepared.stages, model])
 
 
 def fit_regressor(
@@ -75,7 +81,11 @@ def fit_regressor(
         numTrees=trees, maxDepth=depth, seed=seed, featuresCol=vector, labelCol=target, predictionCol=prediction
     )
     assembler = VectorAssembler(inputCols=features, outputCol=vector, handleInvalid="keep")
-    return fit_on_vectors([assembler], forest, rows, [vector, target])
+    vectors = assembler.transform(rows).select(vector, target).persist()
+    try:
+        return PipelineModel(stages=[assembler, forest.fit(vectors)])
+    finally:
+        vectors.unpersist()
 
 
 def apply_model(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:

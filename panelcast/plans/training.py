@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.dates import SEASON_FLAGS
 from panelcast.operators.autoreg import fitted_selected, select_model
+from panelcast.operators.foldfits import backtest_direct, fitted_in_fold, fold_models
 from panelcast.operators.cluster import choose_k, fit_labels, score_candidates
 from panelcast.operators.forests import apply_keeping_gaps, fit_classifier, fit_regressor
 from panelcast.operators.frames import next_day
@@ -76,13 +77,17 @@ def fit_models(rows: DataFrame, features: FeatureSpec, train: TrainSpec) -> dict
     labels = fit_label_model(rows, train)
     labelled = label_days(rows, labels, features, train.label_lead)
     classifier = fit_classifier(labelled, features.columns, "label", train.trees, train.depth, train.seed)
-    stacked = apply_keeping_gaps(classifier, labelled, "predicted_label")
     inputs = stack_inputs(train)
+    # the classifier scores the training rows once; both regressors read the few columns they need
+    stacked = apply_keeping_gaps(classifier, labelled, "predicted_label").select(*inputs, train.high, train.low).persist()
     models = {"labels": labels, "classifier": classifier}
-    for part, target in (("maximum", train.high), ("minimum", train.low)):
-        models[part] = fit_regressor(
-            stacked, inputs, target, f"predicted_{part}", train.trees, train.high_low_depth, train.seed
-        )
+    try:
+        for part, target in (("maximum", train.high), ("minimum", train.low)):
+            models[part] = fit_regressor(
+                stacked, inputs, target, f"predicted_{part}", train.trees, train.high_low_depth, train.seed
+            )
+    finally:
+        stacked.unpersist()
     return models
 
 
@@ -96,6 +101,39 @@ def training_rows(
     return materialise(spark, rows.dropna(), "features")
 
 
+def fold_parts(
+    daily: DataFrame, base: DataFrame, folds: DataFrame, models: DataFrame, ahead: DataFrame, features: FeatureSpec
+) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows of one fold; nothing in the training rows and no mean forecast comes from a test day.
+
+    base: feature rows without `mean_forecast`; models: the forecaster of each series in this fold; ahead: forecasts of its test
+    days from the fold's end. Training days get the in-sample value of the fold's model.
+    """
+    keys, day = features.keys, features.day
+    ends = folds.select(*keys, F.col("train_end").alias("_end"))
+    before = daily.join(ends, keys).where(F.col(day) <= F.col("_end")).drop("_end")
+    fitted = fitted_in_fold(before, models, keys, features.mean, day=day, name="mean_forecast").select(*keys, day, "mean_forecast")
+    train = base.join(fitted, [*keys, day])
+    test = base.join(ahead.select(*keys, day, F.col("forecast").alias("mean_forecast")), [*keys, day])
+    return train.dropna(), test.dropna()
+
+
+def base_rows(spark: SparkSession, daily: DataFrame, features: FeatureSpec, train: TrainSpec) -> DataFrame:
+    """The feature rows all folds share, written once. A feature of a day comes from that day and earlier ones only."""
+    wanted = [c for c in dict.fromkeys([train.high, train.low, train.cloud]) if c not in features.columns]
+    return materialise(spark, build_features(daily, features, wanted), "base")
+
+
+def split_parts(
+    spark: SparkSession, daily: DataFrame, folds: DataFrame, features: FeatureSpec, train: TrainSpec
+) -> tuple[DataFrame, DataFrame]:
+    """`fold_parts` of folds of which every series has one."""
+    models = materialise(spark, fold_models(daily, folds, features.keys, features.mean, day=features.day), "models")
+    ahead = backtest_direct(daily, folds, models, features.keys, features.mean, day=features.day)
+    parts = fold_parts(daily, base_rows(spark, daily, features, train), folds, models.drop("fold"), ahead, features)
+    return materialise(spark, parts[0], "train"), materialise(spark, parts[1], "test")
+
+
 def train_bundle(spark: SparkSession, daily: DataFrame, features: FeatureSpec, train: TrainSpec) -> Bundle:
     """Fit everything on all rows of a gap-filled daily panel."""
     forecaster = materialise(spark, select_model(daily, features.keys, features.mean, day=features.day), "forecaster")

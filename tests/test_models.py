@@ -20,6 +20,7 @@ from panelcast.operators.autoreg import (
     forecast_first_order,
     forecast_selected,
     refit_each_day,
+    refit_selected,
     select_lags,
     select_model,
 )
@@ -32,7 +33,7 @@ from panelcast.operators.scaling import Scaler, fit_scaler
 from panelcast.plans.evaluation import backtest_average, backtest_models, evaluate_range, evaluation_scores, save_evaluation
 from panelcast.plans.features import FeatureSpec, build_features
 from panelcast.plans.forecasting import forecast_days, forecast_from, forecast_report, future_features, future_rows
-from panelcast.plans.training import TrainSpec, train_bundle, train_if_missing, training_rows
+from panelcast.plans.training import TrainSpec, split_parts, train_bundle, train_if_missing
 from panelcast.session import fresh_path
 
 DAYS = 420
@@ -65,7 +66,7 @@ def panel(spark, series):
 
 
 def least_squares(y, lags, exog=None, depth=None):
-    depth = depth or max(lags)
+    depth = depth or max([1, *lags])
     columns = [np.ones(len(y) - depth)] + [y[depth - k : len(y) - k] for k in lags]
     if exog is not None:
         columns.append(exog[depth:])
@@ -340,14 +341,47 @@ def test_bundle_is_trained_once(spark, panel):
     assert other
 
 
-def test_backtest_of_models(spark, panel, bundle):
-    rows = training_rows(spark, panel, bundle.tables["forecaster"], SPEC, TRAIN)
-    last = START + timedelta(days=DAYS - 1)
-    windows = [(last - timedelta(days=59), last - timedelta(days=30)), (last - timedelta(days=29), last)]
-    scores = backtest_models(rows, windows, SPEC, TRAIN)
+def test_backtest_of_models(spark, panel):
+    known = panel.where(F.col("series_id") != "tiny")
+    scores = backtest_models(spark, known, SPEC, TRAIN, test_days=25, train_days=345)
     got = scores.orderBy("fold").collect()
-    assert [r.days for r in got] == [60, 60] and all(0.5 < r.accuracy <= 1 and r.maximum_mae < 5 for r in got)
-    assert backtest_average(scores).first().sessions == 2
+    assert [(r.fold, r.days) for r in got] == [(1, 50), (2, 50), (3, 50)]
+    assert all(0.5 < r.accuracy <= 1 and r.mean_mae < 5 and r.maximum_mae < 5 for r in got)
+    average = backtest_average(scores).first()
+    assert average.sessions == 3 and math.isclose(average.mean_mae, sum(r.mean_mae for r in got) / 3)
+
+
+def test_a_fold_sees_nothing_of_its_test_days(spark, panel):
+    """Other values on the test days leave the training rows, and the mean forecasts of the test rows, as they are."""
+    known = panel.where(F.col("series_id") != "tiny")
+    cut = START + timedelta(days=380)
+    fold = day_span(known, ["series_id"]).select(
+        "series_id",
+        F.lit(1).alias("fold"),
+        F.col("first_day").alias("train_start"),
+        F.date_sub(F.lit(cut), 1).alias("train_end"),
+        F.lit(cut).alias("test_start"),
+        F.col("last_day").alias("test_end"),
+    )
+    late = F.col("day") >= F.lit(cut)
+    other = known.withColumns({c: F.when(late, F.col(c) * -3 + 7).otherwise(F.col(c)) for c in ("y", "x", "high", "low", "cloud")})
+    parts = [split_parts(spark, rows, fold, SPEC, TRAIN) for rows in (known, other)]
+
+    def plain(rows, names):
+        return sorted(tuple(str(r[n]) for n in names) for r in rows.collect())
+
+    train = [plain(p[0], sorted(p[0].columns)) for p in parts]
+    assert train[0] == train[1] and len(train[0]) > 600
+    ahead = [plain(p[1], ["series_id", "day", "mean_forecast"]) for p in parts]
+    assert ahead[0] == ahead[1] and len(ahead[0]) == 80
+
+
+def test_past_days_are_forecast_by_the_selected_order(spark, panel, bundle):
+    start, end = START + timedelta(days=DAYS - 3), START + timedelta(days=DAYS - 1)
+    got = {(r.series_id, r.day): r.predicted_mean for r in evaluate_range(panel, bundle, SPEC, TRAIN, start, end).collect()}
+    days = F.col("day").between(F.lit(start), F.lit(end))
+    want = refit_selected(panel, bundle.tables["forecaster"], ["series_id"], "y", days=days).collect()
+    assert len(want) == 6 and all(got[r.series_id, r.day] == r.forecast for r in want)
 
 
 def test_label_of_the_next_day(spark):
