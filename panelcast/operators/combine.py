@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelcast.functions.physics import destination_point
@@ -15,15 +16,14 @@ def join_sources(basic: DataFrame, advanced: DataFrame, keys: list[str]) -> Data
 
 def join_or_fall_back(basic: DataFrame, advanced: DataFrame, series: str, time: str) -> DataFrame:
     """Inner join per series, or the one table that knows the series if the other is empty for it."""
-    have_basic = basic.select(series).distinct().withColumn("_in_basic", F.lit(True))
-    have_advanced = advanced.select(series).distinct().withColumn("_in_advanced", F.lit(True))
     left = basic.withColumn("_b", F.lit(True))
     right = advanced.withColumn("_a", F.lit(True))
     merged = left.join(right, [series, time], "full_outer")
-    merged = merged.join(have_basic, series, "left").join(have_advanced, series, "left")
-    both = F.col("_b") & F.col("_a")
-    keep = both | F.col("_in_basic").isNull() | F.col("_in_advanced").isNull()
-    return merged.where(keep).drop("_a", "_b", "_in_basic", "_in_advanced")
+    # which sides a series has at all, learned from the joined rows, so neither table is read again
+    whole = W.partitionBy(series)
+    known = merged.withColumns({"_has_b": F.max("_b").over(whole), "_has_a": F.max("_a").over(whole)})
+    keep = (F.col("_b") & F.col("_a")) | F.col("_has_b").isNull() | F.col("_has_a").isNull()
+    return known.where(keep).drop("_a", "_b", "_has_a", "_has_b")
 
 
 def widen_regions(

@@ -70,7 +70,7 @@ def forecast_days(
     means = forecast_selected(history, model, features.keys, features.mean, horizon, day=features.day)
     future = future_rows(history, means, features, horizon, drivers)
     rows = future_features(history, future, features).withColumn("mean_forecast", F.col(features.mean))
-    rows = rows.fillna(0.0, subset=features.columns)
+    # a day without a feature is not scored: its class is unknown, its extremes lie around the mean
     scored = with_high_low(bundle, rows)
     mean = F.col("mean_forecast")
     return scored.select(

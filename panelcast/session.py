@@ -69,10 +69,15 @@ def write_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that `write_table` or `materialise` wrote, once nothing reads them any more."""
     for table in tables:
-        spark, path = table.sparkSession, table.__dict__.get("stored_at")
+        path = table.__dict__.get("stored_at")
         if path:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            remove_folder(table.sparkSession, path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever the path's file system is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:

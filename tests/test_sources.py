@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import glob
+import os
 from datetime import date, datetime
 
 import pytest
@@ -16,7 +18,7 @@ from panelcast.sources.writers import (
     duplicate_keys,
     insert_if_absent,
     nan_to_null,
-    rewrite_without_month,
+    delete_month,
     write_csv,
     write_partitioned,
 )
@@ -177,22 +179,46 @@ def test_empty_batch_adds_nothing(spark, hourly):
     assert spark.read.parquet(path).count() == hourly.count()
 
 
-def test_months_are_folders_and_can_be_left_out(spark, hourly):
-    path, kept = fresh_path(spark, "test-months"), fresh_path(spark, "test-kept")
+def month_files(path):
+    place = path.removeprefix("file:")
+    return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{place}/year=*/month=*/*.parquet")}
+
+
+def test_a_deleted_month_leaves_the_files_of_all_others(spark, hourly):
+    path, keys = fresh_path(spark, "test-delete"), ["series_id", "ts"]
     write_partitioned(hourly, path)
-    rewrite_without_month(spark, path, kept, "ts", "2021-01-%")
-    left = spark.read.parquet(kept)
-    assert left.where(F.date_format("ts", "yyyy-MM") == "2021-01").count() == 0
-    gone = hourly.where(F.date_format("ts", "yyyy-MM") == "2021-01").count()
-    assert left.count() == hourly.count() - gone
+    before, month = month_files(path), F.date_format("ts", "yyyy-MM")
+    delete_month(spark, path, "ts", "2021-01-%")
+    after = month_files(path)
+    assert after == {f: t for f, t in before.items() if "/year=2021/month=1/" not in f} and len(after) < len(before)
+    left = spark.read.parquet(path)
+    assert left.where(month == "2021-01").count() == 0
+    assert left.count() == hourly.where(month != "2021-01").count()
+    append_if_absent(spark, hourly, path, keys, ["temperature"])
+    assert spark.read.parquet(path).count() == hourly.count()
+    assert {f for f in before if "/year=2021/month=1/" not in f} <= set(month_files(path))
 
 
-def test_delete_then_insert_keeps_every_row_readable(spark, hourly):
-    path, kept = fresh_path(spark, "test-before"), fresh_path(spark, "test-after")
+def test_a_part_of_a_month_can_be_deleted(spark, hourly):
+    path = fresh_path(spark, "test-delete-days")
     write_partitioned(hourly, path)
-    rewrite_without_month(spark, path, kept, "ts", "2021-01-%")
-    append_if_absent(spark, hourly, kept, ["series_id", "ts"], ["temperature"])
-    assert spark.read.parquet(kept).count() == hourly.count()
+    others = {f: t for f, t in month_files(path).items() if "/year=2024/month=2/" not in f}
+    delete_month(spark, path, "ts", "2024-02-15%")
+    delete_month(spark, path, "ts", "1999-%")
+    got = spark.read.parquet(path)
+    assert got.where(F.date_format("ts", "yyyy-MM-dd").like("2024-02-15%")).count() == 0
+    assert got.count() == hourly.where(~F.date_format("ts", "yyyy-MM-dd").like("2024-02-15%")).count()
+    assert others.items() <= month_files(path).items()
+
+
+def test_a_table_refuses_other_types(spark):
+    schema, path, keys = hourly_schema(["temperature_2m"]), fresh_path(spark, "test-typed"), ["series_id", "ts"]
+    good = spark.createDataFrame([("a", datetime(2024, 1, 1), 1.0)], schema)
+    append_if_absent(spark, good, path, keys, ["temperature_2m"], schema=schema)
+    for bad in (good.withColumn("temperature_2m", F.lit("1")), good.drop("temperature_2m"), good.withColumn("more", F.lit(1))):
+        with pytest.raises(ValueError):
+            append_if_absent(spark, bad, path, keys, ["series_id"], schema=schema)
+    assert spark.read.parquet(path).count() == 1
 
 
 def test_rows_without_a_key_are_rejected(spark, hourly):
