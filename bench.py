@@ -34,6 +34,9 @@ HEADLINE = [
     "ar_select",
     "backtest_refit",
     "backtest_direct",
+    "backtest_frozen",
+    "backtest_refit_lags",
+    "wide_features",
     "classification_report",
     "next_day_features",
     "forecast_7d",
