@@ -227,9 +227,12 @@ def _verified(near: DataFrame, nodes: DataFrame, similarity: float, tables: int,
     A bucket is dealt into blocks by a hash of the node, and a pair of blocks is one piece of work that any task
     can take, so no task holds a bucket. A linked pair counts in the first bucket that it shares, found from the vectors alone,
     so no pair is counted twice and none has to be listed: what leaves a task are counts, and edges that connect the
-    same nodes as all links of the piece do, fewer than its nodes.
+    same nodes as all links of the piece do, fewer than its nodes. Of buckets with the same members only the first is looked into: it is
+    the one in which their pairs count.
     """
-    sizes = near.groupBy("dim", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1")
+    marks = [F.expr(f"bit_xor(xxhash64({seed}, node))").alias(f"m{seed}") for seed in (1, 2)]
+    sizes = near.groupBy("dim", "key").agg(F.count("*").alias("n"), *marks).filter("n > 1")
+    sizes = sizes.groupBy("dim", "n", "m1", "m2").agg(F.min("key").alias("key")).select("dim", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     placed = near.join(sizes, ["dim", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     full = placed.join(nodes.select("node", "copies", "vector"), "node")
     pieces = F.transform(
