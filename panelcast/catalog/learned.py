@@ -261,7 +261,7 @@ def historical_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("backtest_models")
 def backtest_forests(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per 60-day fold, and the averages over them as fold 0."""
-    scores = backtest_models(spark, daily_measures(spark, sf), FEATURES, SMALLER)
+    """One row for each of the last ten 30-day folds, and the averages over them as fold 0."""
+    scores = backtest_models(spark, daily_measures(spark, sf), FEATURES, SMALLER, test_days=30, last=10)
     average = backtest_average(scores).select(F.lit(0).alias("fold"), F.col("sessions").alias("days"), *SCORES)
     return scores.unionByName(average)

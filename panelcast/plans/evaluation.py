@@ -12,7 +12,7 @@ from panelcast.functions.present import describe_label
 from panelcast.operators.autoreg import refit_selected
 from panelcast.operators.combine import forecast_beside_actual
 from panelcast.operators.foldfits import backtest_direct, fold_models
-from panelcast.operators.folds import folds_every
+from panelcast.operators.folds import folds_every, folds_last
 from panelcast.operators.forests import apply_keeping_gaps
 from panelcast.operators.scores import accuracy, average_over, classification_report, confusion_matrix, regression_scores
 from panelcast.plans.features import FeatureSpec, build_features
@@ -44,10 +44,12 @@ def score_fold(train_rows: DataFrame, test_rows: DataFrame, features: FeatureSpe
     )
 
 
-def common_folds(daily: DataFrame, features: FeatureSpec, test_days: int = 60, train_days: int = 365) -> DataFrame:
-    """Every full window of `test_days` after the first `train_days` of the panel, the same dates for all series."""
+def common_folds(daily: DataFrame, features: FeatureSpec, test_days: int = 60, train_days: int = 365, last: int | None = None) -> DataFrame:
+    """Every full window of `test_days` after the first `train_days` of the panel, or the `last` ones; the same dates for all series."""
     span = daily.agg(F.min(features.day).alias("first_day"), F.max(features.day).alias("last_day"))
-    windows = folds_every(span.withColumn("_panel", F.lit(1)), ["_panel"], test_days, train_days).drop("_panel")
+    span = span.withColumn("_panel", F.lit(1))
+    windows = folds_every(span, ["_panel"], test_days, train_days) if last is None else folds_last(span, ["_panel"], last, test_days, train_days)
+    windows = windows.drop("_panel")
     # few rows, bounded by the calendar, that enter the plan as literals; every series has them all
     found = [F.struct(*[F.lit(r[c]).alias(c) for c in windows.columns]) for r in windows.orderBy("fold").collect()]
     series = daily.select(*features.keys).distinct()
@@ -63,16 +65,17 @@ def backtest_models(
     train: TrainSpec,
     test_days: int = 60,
     train_days: int = 365,
+    last: int | None = None,
     at_once: int = 4,
 ) -> DataFrame:
     """One row per fold of all series together: days, accuracy and the errors of mean, maximum and minimum.
 
-    Of every full window of `test_days` after the first `train_days`, forecaster, labels, scaler and forests are fitted on the
+    Of every full window of `test_days` after the first `train_days`, or the `last` ones, forecaster, labels, scaler and forests are fitted on the
     days before it alone, and the mean of its days is forecast from its first day on. The forecasters of all folds
     are one job. Forests are fitted fold by fold, `at_once` folds at a time, as the stages of one seldom fill a cluster.
     """
     keys = [*features.keys, features.day]
-    folds = materialise(spark, common_folds(daily, features, test_days, train_days), "folds")
+    folds = materialise(spark, common_folds(daily, features, test_days, train_days, last), "folds")
     models = materialise(spark, fold_models(daily, folds, features.keys, features.mean, day=features.day), "models")
     ahead = materialise(spark, backtest_direct(daily.select(*keys, features.mean), folds, models, features.keys, features.mean, day=features.day), "ahead")
     base = base_rows(spark, daily, features, train)
