@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import words
-from panelcast.llm.common import smallest_hashes, stored
+from panelcast.llm.common import sieved, stored
 
-#: Buckets of the hashed words and word pairs, and labelled rows taken as trusted text, at most.
-BUCKETS, TRUSTED = 16384, 20_000
+#: Buckets of the hashed words and word pairs.
+BUCKETS = 16384
 #: Share of the trusted documents that may fall below the threshold, and the step in which scores are counted.
 BELOW, STEP = 0.001, 0.001
 _SYMBOLS = np.zeros(256, bool)
@@ -38,32 +38,32 @@ def _parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield first, last, part, at, start, end, ahead, owner
 
 
-def corpus_counts(docs: DataFrame, trusted: DataFrame, size: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams by bucket in all documents, and in the trusted ones.
-
-    Each task adds up its own buckets and hands on at most `size` rows; the driver gets `size` rows. trusted
-    has at most TRUSTED rows of doc_id and is broadcast, so texts are not shuffled.
-    """
-    rows = docs.select("doc_id", F.col("text").alias("body")).join(
-        F.broadcast(trusted.select(F.col("doc_id").alias("trusted")).distinct()), F.col("doc_id") == F.col("trusted"), "left"
-    )
+def bucket_counts(docs: DataFrame, size: int = BUCKETS) -> np.ndarray:
+    """n-grams by bucket in the documents. Each task adds up its own buckets and hands on at most `size` rows; the driver gets `size` rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            flag = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
-            for first, _, part, _, start, end, _, owner in _parts(batch.column(0)):
-                found, row = _buckets(words.hashes(part, start, end, lower=True), owner, size)
-                raw += np.bincount(found, minlength=size)
-                good += np.bincount(found[flag[first + row]], minlength=size)
-        seen = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(raw[seen]), pa.array(good[seen])], names=["bucket", "raw", "good"])
+            for _, _, part, _, start, end, _, owner in _parts(batch.column(0)):
+                total += np.bincount(_buckets(words.hashes(part, start, end, lower=True), owner, size)[0], minlength=size)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["bucket", "n"])
+
+    out = np.zeros(size, np.int64)
+    parts = docs.select(F.col("text").alias("body")).mapInArrow(count, "bucket long, n long")
+    for row in parts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[row["bucket"]] = row["n"]
+    return out
 
-    parts = rows.select("body", F.col("trusted").isNotNull().alias("flag")).mapInArrow(count, "bucket long, raw long, good long")
-    raw, good = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    for row in parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect():
-        raw[row["bucket"]], good[row["bucket"]] = row["raw"], row["good"]
-    return raw, good
+
+def corpus_counts(docs: DataFrame, trusted: DataFrame, size: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams by bucket in all documents, and in the trusted ones.
+
+    trusted: doc_id, of any number of rows. All documents are counted where they are read; only texts that a sieve of the
+    trusted ids leaves are shuffled for the join.
+    """
+    some = sieved(docs.select("doc_id", "text"), "doc_id", trusted)[0]
+    return bucket_counts(docs, size), bucket_counts(some.join(trusted.select("doc_id"), "doc_id", "left_semi"), size)
 
 
 def ratios(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
@@ -140,8 +140,8 @@ def judged(docs: DataFrame, trusted: DataFrame, size: int = BUCKETS, below: floa
     largest score, in steps of STEP, below which at most `below` of the trusted documents lie that
     pass the base rules; the same threshold holds for every document, without chance.
 
-    trusted: doc_id of at most TRUSTED documents (see `trusted_sample`). Without any, the score of all is 0 and the
-    base rules decide.
+    trusted: doc_id of all trusted documents (see `trusted_labels`), however many; repeated ones count once. Without any, the
+    score of all is 0 and the base rules decide.
 
     One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed (under 20 words, or over 30 % of them repeated), score, threshold, kept. A null text
@@ -151,7 +151,7 @@ def judged(docs: DataFrame, trusted: DataFrame, size: int = BUCKETS, below: floa
     model = ratios(*corpus_counts(docs, trusted, size))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = stored(measured(docs, model).withColumn("base_failed", failed), "measured")
-    known = rows.join(F.broadcast(trusted.select("doc_id").distinct()), "doc_id", "left_semi").filter(~F.col("base_failed"))
+    known = rows.join(trusted.select("doc_id"), "doc_id", "left_semi").filter(~F.col("base_failed"))
     steps = known.groupBy(F.floor(F.col("score") / STEP).cast("long").alias("step")).count().sort("step").collect()
     allowed, cut = below * sum(r["count"] for r in steps), None
     for r in steps:
@@ -164,7 +164,7 @@ def judged(docs: DataFrame, trusted: DataFrame, size: int = BUCKETS, below: floa
     return rows.withColumn("threshold", limit).withColumn("kept", kept)
 
 
-def trusted_sample(labels: DataFrame, rows: int = TRUSTED) -> DataFrame:
-    """doc_id of at most `rows` documents labelled good and not toxic: those with the smallest hashes of doc_id."""
+def trusted_labels(labels: DataFrame) -> DataFrame:
+    """doc_id of every document labelled good and not toxic."""
     good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
-    return smallest_hashes(good, "doc_id", rows)
+    return good.select("doc_id").distinct()

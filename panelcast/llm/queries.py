@@ -52,7 +52,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.judged(documents(spark, sf_dir), quality.trusted_sample(labels)).select(
+    return quality.judged(documents(spark, sf_dir), quality.trusted_labels(labels)).select(
         "doc_id", *quality.MEASURES, "base_failed", "kept", "score", "threshold"
     )
 

@@ -353,6 +353,19 @@ def test_quality_scores_by_hand(spark):
     assert np.mean(unseen_good) > 0.8 and np.mean(unseen_bad) < 0.05
 
 
+def test_quality_counts_all_trusted_documents(spark, tmp_path):
+    """However many documents are trusted, all are counted: if all of a table are, both models are equal and every score is 0."""
+    from panelcast.llm import queries
+
+    docs = spark.range(20_600).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 24), k -> concat('w', k * id % 997))) AS text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.range(20_600).selectExpr("id AS doc_id", "1 AS quality", "if(id % 2 = 0, 0, null) AS toxic")
+    labels.union(labels.limit(50)).union(spark.sql("SELECT NULL, 1, 0")).write.parquet(f"{tmp_path}/labels.parquet")
+    found = queries.op6_quality(spark, str(tmp_path))
+    assert found.filter("score = 0 AND threshold = 0").count() == 20_600
+    assert found.filter("kept = base_failed").count() == 0
+
+
 def test_chat_keeps_ids_and_rows_apart(spark):
     """Large ids beside a null one, null and tied turns, and columns with the operator's names."""
     big = 2**53
