@@ -29,6 +29,36 @@ _CLASS[[0x20, 0x09]] = 1
 _CLASS[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: CRC-32 a byte at a time, and bytes of a word up to which all words are taken together.
+_CRC, SHORT = np.array([zlib.crc32(bytes([255 - k])) ^ 0xFF000000 for k in range(256)], np.uint32), 64
+
+
+def _crc32(words: pa.Array, begin: np.ndarray) -> np.ndarray:
+    """The CRC-32 of each word, carried on from that of the bytes ahead of it, as `zlib.crc32(word, begin)`."""
+    _, offsets, data = words.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    size, out = np.diff(bounds), begin.astype(np.uint32) ^ np.uint32(0xFFFFFFFF)
+    alive = np.flatnonzero(size <= SHORT)
+    for at in range(SHORT):
+        alive = alive[size[alive] > at]
+        if not len(alive):
+            break
+        now = out[alive]
+        out[alive] = _CRC[(now ^ raw[bounds[alive] + at]) & np.uint32(255)] ^ (now >> np.uint32(8))
+    out ^= np.uint32(0xFFFFFFFF)
+    for k in np.flatnonzero(size > SHORT).tolist():
+        out[k] = zlib.crc32(raw[bounds[k] : bounds[k + 1]], int(begin[k]))
+    return out.astype(np.int64)
+
+
+def _renumbered(joint: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers, all below `size`, in order, and for each number its place among them."""
+    if size > 8 * len(joint) + 1024:
+        return np.unique(joint, return_inverse=True)
+    seen = np.zeros(size, bool)
+    seen[joint] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[joint]
 
 
 class Words:
@@ -64,14 +94,15 @@ class Words:
         lang = langs.fill_null("und").dictionary_encode()
         names = len(words.dictionary)
         joint = lang.indices.to_numpy().astype(np.int64)[row] * names + words.indices.to_numpy()
-        known, self.codes = np.unique(joint, return_inverse=True)
+        known, self.codes = _renumbered(joint, len(lang.dictionary) * names)
         self.langs = lang.dictionary.take(pa.array(known // max(names, 1)))
         self.words = words.dictionary.take(pa.array(known % max(names, 1))).cast(pa.binary())
 
     def hashes(self) -> np.ndarray:
         """For each code the CRC-32 of its language and word."""
-        pairs = zip(self.langs.to_pylist(), self.words.to_pylist(), strict=True)
-        return np.fromiter((zlib.crc32(word, zlib.crc32(lang.encode() + b"\n")) for lang, word in pairs), np.int64, len(self.words))
+        lang = self.langs.dictionary_encode()
+        ahead = np.array([zlib.crc32(name.encode() + b"\n") for name in lang.dictionary.to_pylist()], np.uint32)
+        return _crc32(self.words, ahead[lang.indices.to_numpy()])
 
 
 def _set(bits: bytes, place: np.ndarray) -> np.ndarray:
@@ -182,7 +213,7 @@ def _equal_once(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _suffixes(docs: DataFrame, sieves: tuple[bytes, bytes, bytes | None], shortest: int, depth: int) -> DataFrame:
-    """The suffixes of pieces, cut to `depth` words and ahead of what is surely rare: lang, words, weight, hot.
+    """The suffixes of pieces, cut to `depth` words and ahead of what is surely rare: lang, w0, w1 and so on (null where ended), weight, hot.
 
     sieves: of frequent words, of hot ones, and of frequent pairs, if they are known. Only suffixes of `shortest` words or more. Equal
     ones leave a task once, with their number. `hot` marks those whose first two words are both hot.
@@ -217,26 +248,30 @@ def _suffixes(docs: DataFrame, sieves: tuple[bytes, bytes, bytes | None], shorte
                     alive = alive[(last < len(goes)) & goes[np.minimum(last, len(goes) - 1)]]
                     keys[alive, k] = found.codes[begin[alive] + k] + 1
                 keys, weight = _equal_once(keys)
-                flat = keys[keys > 0] - 1
-                offsets = np.concatenate([[0], np.cumsum((keys > 0).sum(1))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        found.langs.take(pa.array(keys[:, 0] - 1)),
-                        pa.ListArray.from_arrays(pa.array(offsets), found.words.take(pa.array(flat)).cast(pa.string())),
-                        pa.array(weight),
-                        pa.array(mark[keys[:, 0] - 1] & mark[keys[:, 1] - 1]),
-                    ],
-                    names=["lang", "words", "weight", "hot"],
-                )
+                held = [found.words.take(pa.array(keys[:, k] - 1, mask=keys[:, k] == 0)).cast(pa.string()) for k in range(depth)]
+                marked = pa.array(mark[keys[:, 0] - 1] & mark[keys[:, 1] - 1])
+                yield pa.RecordBatch.from_arrays([found.langs.take(pa.array(keys[:, 0] - 1)), *held, pa.array(weight), marked], names=names)
 
-    return docs.mapInArrow(cut, "lang string, words array<string>, weight long, hot boolean")
+    names = ["lang", *[f"w{k}" for k in range(depth)], "weight", "hot"]
+    return docs.mapInArrow(cut, f"lang string, {', '.join(f'w{k} string' for k in range(depth))}, weight long, hot boolean")
+
+
+def _maybe_frequent(keys: np.ndarray, weights: np.ndarray, least: int) -> np.ndarray:
+    """Whether a suffix's words may weigh `least` together: weights are added by a hash of the words, so no frequent phrase is missed."""
+    bits = max(10, (2 * len(keys)).bit_length())
+    place = np.zeros(len(keys), np.uint64)
+    for k in range(keys.shape[1]):
+        place = (place + keys[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        place ^= place >> np.uint64(32)
+    place = (place >> np.uint64(8)).astype(np.int64) & ((1 << bits) - 1)
+    return np.bincount(place, weights)[place] >= least
 
 
 def _sorted_counts(routed: DataFrame, shortest: int, depth: int, least: int) -> DataFrame:
     """The phrases of `shortest` words and more of each task's suffixes with their counts, by quicksort: lang, words, a.
 
     All suffixes with the same first two words are in one task, so a partition that weighs too little is abandoned
-    there. Suffixes that begin with two hot words are dealt by the third word as well: of their first two words the task
+    there; those whose first `shortest` words surely weigh too little are not even sorted. Suffixes that begin with two hot words are dealt by the third word as well: of their first two words the task
     sees a part, which is kept whatever its weight.
     """
 
@@ -244,29 +279,30 @@ def _sorted_counts(routed: DataFrame, shortest: int, depth: int, least: int) ->
         got = list(batches)
         if not sum(batch.num_rows for batch in got):
             return
-        held = pa.Table.from_batches(got).combine_chunks()
-        lists = held.column("words").combine_chunks()
-        bounds = lists.offsets.to_numpy().astype(np.int64)
-        size = np.diff(bounds)
-        coded = lists.flatten().dictionary_encode()
-        lang = held.column("lang").combine_chunks().dictionary_encode()
-        keys = np.zeros((len(size), depth), np.int64)
-        place = np.arange(len(coded)) - np.repeat(bounds[:-1] - bounds[0], size)
-        keys[np.repeat(np.arange(len(size)), size), place] = coded.indices.to_numpy() + 1
-        keys[:, 0] += lang.indices.to_numpy().astype(np.int64) * (len(coded.dictionary) + 1)
-        weights = held.column("weight").to_numpy()
-        hot = held.column("hot").to_numpy()
+        held = pa.Table.from_batches(got)
+        coded = [held.column(f"w{k}").dictionary_encode().combine_chunks() for k in range(depth)]
+        lang = held.column("lang").dictionary_encode().combine_chunks()
+        keys = np.stack([c.indices.fill_null(-1).to_numpy().astype(np.int64) + 1 for c in coded], 1)
+        base = len(coded[0].dictionary) + 1
+        keys[:, 0] += lang.indices.to_numpy().astype(np.int64) * base
+        weights, hot = held.column("weight").to_numpy(), held.column("hot").to_numpy()
+        kept = np.flatnonzero(hot | _maybe_frequent(keys[:, :shortest], weights, least))
+        keys, weights, hot, own = keys[kept], weights[kept], hot[kept], lang.indices.to_numpy()[kept]
+        # the words of all places, one after the other
+        known = pa.concat_arrays([c.dictionary for c in coded])
+        ahead = np.cumsum([0, *[len(c.dictionary) for c in coded[:-1]]])
+        del held, got
         for d, suffix, weight in multikey_quicksort(keys, weights, np.where(hot, 1, least)):
             if d < shortest:
                 continue
             keep = (weight >= least) | (hot[suffix] & (d == 2))
             suffix, weight = suffix[keep], weight[keep]
-            flat = (bounds[suffix] - bounds[0])[:, None] + np.arange(d)
-            words = coded.dictionary.take(coded.indices.take(pa.array(flat.ravel())))
+            these = keys[suffix, :d] - 1
+            these[:, 0] %= base
             yield pa.RecordBatch.from_arrays(
                 [
-                    lang.dictionary.take(lang.indices.take(pa.array(suffix))),
-                    pa.ListArray.from_arrays(pa.array((np.arange(len(suffix) + 1) * d).astype(np.int32)), words),
+                    lang.dictionary.take(pa.array(own[suffix])),
+                    pa.ListArray.from_arrays(pa.array((np.arange(len(suffix) + 1) * d).astype(np.int32)), known.take(pa.array((these + ahead[:d]).ravel()))),
                     pa.array(weight),
                 ],
                 names=["lang", "words", "a"],
@@ -287,7 +323,7 @@ def phrase_counts(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, hot:
 
     def counted(pairs: bytes | None, shortest: int, longest: int) -> DataFrame:
         suffixes = _suffixes(docs, (*word_sieves, pairs), shortest, longest)
-        routed = suffixes.repartition(parts, "lang", F.slice("words", 1, 2), F.when(F.col("hot"), F.slice("words", 3, 1)))
+        routed = suffixes.repartition(parts, "lang", "w0", "w1", *[F.when(F.col("hot"), F.col("w2")) for _ in range(longest > 2)])
         summed = _sorted_counts(routed, shortest, longest, least).groupBy("lang", "words").agg(F.sum("a").alias("a"))
         return stored(summed.filter(F.col("a") >= least), "phrases")
 

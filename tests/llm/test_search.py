@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,6 +259,28 @@ def test_collocations_of_nothing(spark):
     assert phrases.collocations(docs).collect() == []
 
 
+def test_word_hashes_are_crc32():
+    rng = np.random.default_rng(5)
+    texts = ["a" * 300 + " " + " ".join("x" * int(n) + str(n) for n in rng.integers(0, 90, 50)), "ünï a", None, "", "b" * 64 + " " + "b" * 65]
+    found = phrases.Words(pa.array(["en", "de", "en", "en", None]), pa.array(texts))
+    pairs = zip(found.langs.to_pylist(), found.words.to_pylist(), strict=True)
+    assert found.hashes().tolist() == [zlib.crc32(lang.encode() + b"\n" + word) for lang, word in pairs]
+    assert phrases.Words(pa.array([], pa.string()), pa.array([], pa.string())).hashes().tolist() == []
+
+
+def test_tasks_sort_only_what_may_be_frequent():
+    """Of many rare pairs few are sorted; none that weighs enough is left out."""
+    rng = np.random.default_rng(6)
+    keys = np.concatenate([rng.integers(1, 20_000, (40_000, 2)), np.repeat([[7, 8], [8, 7]], 30, 0), [[9, 9]]])
+    weights = np.concatenate([np.ones(40_060, np.int64), [10]])
+    kept = phrases._maybe_frequent(keys, weights, 10)
+    totals = Counter()
+    for pair, weight in zip(map(tuple, keys.tolist()), weights.tolist(), strict=True):
+        totals[pair] += weight
+    assert all(k for k, pair in zip(kept.tolist(), map(tuple, keys.tolist()), strict=True) if totals[pair] >= 10)
+    assert kept.sum() < 1000
+
+
 def test_quicksort_partitions():
     rng = np.random.default_rng(2)
     keys = rng.integers(0, 5, (500, 3))
