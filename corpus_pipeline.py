@@ -24,9 +24,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows without such a text are all kept, repeated ones too; an empty table stays empty.
     """
     learned = language.samples(docs, ~language.held_out())
-    named = docs.select(_row(docs).alias("input"), "text")
-    found = language.identified(named, learned, carry=["input"]).filter(F.col("lang_pred") != language.UNKNOWN)
-    return found.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col("input")[c].alias(c) for c in docs.columns])
+    named = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("input"), "text")
+    found = language.identified(named, learned, carry=["input", "text"]).filter(F.col("lang_pred") != language.UNKNOWN)
+    new = {"lang": F.col("lang_pred"), "text": F.col("text")}
+    return found.select(*[new.get(c, F.col("input")[c]).alias(c) for c in docs.columns])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

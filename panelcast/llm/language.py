@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 #: Labelled rows to learn from for each language, and the length beyond which a row is only drawn where shorter ones lack.
 ROWS, LENGTH = 40, 8000
 #: Characters of a block, parsed at the same time as other blocks; and characters parsed together.
-BLOCK, CHUNK = 1024, 4_000_000
+BLOCK, CHUNK = 1024, 2_000_000
 UNKNOWN = "und"
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 #: States x letters up to which an automaton is also laid out as a plain table (32 MB); a faster layout of the same steps.
@@ -138,18 +138,23 @@ class Alphabet:
         self.letters = np.array(sorted({ord(ch) for text in samples for ch in text.lower() if ch.isalpha()}), np.uint32)
         self.size = len(self.letters) + 2
         kinds = np.fromiter((chr(p).isalpha() for p in range(0x110000)), bool, 0x110000)
-        self.table = np.where(kinds, 0, 1).astype(np.int32)
+        self.table = np.where(kinds, 0, 1).astype(np.min_scalar_type(self.size))
         self.table[self.letters] = np.arange(2, self.size)
 
     def coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the texts, each run of other characters as one blank, and where each text ends."""
         points, ends = _plain(texts)
         codes = self.table[points]
+        del points  # four bytes a character
         blank = codes == 1
         first = np.zeros(len(codes), bool)
         first[np.concatenate([[0], ends[:-1]])[np.diff(ends, prepend=0) > 0]] = True
         kept = ~blank | first | ~np.concatenate([[False], blank[:-1]])
-        return codes[kept], np.concatenate([[0], np.cumsum(kept)])[ends]
+        sizes = np.zeros(len(ends), np.int64)
+        some = np.diff(ends, prepend=0) > 0
+        if some.any():
+            sizes[some] = np.add.reduceat(kept, np.concatenate([[0], ends[:-1]])[some], dtype=np.int64)
+        return codes[kept], np.cumsum(sizes)
 
 
 def _lanes(codes: np.ndarray, automaton: Automaton, begin: np.ndarray, stop: np.ndarray, flags: np.ndarray) -> np.ndarray:
@@ -288,7 +293,8 @@ def phrases(codes: np.ndarray, ends: np.ndarray, automaton: Automaton, block: in
         whole = todo[state[todo] == 0]
         flags[begin[whole + 1]] = True
         todo = todo[state[todo] > 0]
-    return np.add.reduceat(np.append(flags[:-1], False).astype(np.int64), starts) * (ends > starts)
+    flags[-1] = False
+    return np.add.reduceat(flags, starts, dtype=np.int64) * (ends > starts)
 
 
 def samples(docs: DataFrame, learn: Column, rows: int = ROWS, length: int = LENGTH) -> dict[str, str]:
@@ -329,7 +335,7 @@ class Model:
         lengths = np.diff(ends, prepend=0)
         spoken = np.zeros(len(texts), bool)
         if len(codes):
-            spoken = np.add.reduceat(np.append(codes != 1, False).astype(np.int64), np.concatenate([[0], ends[:-1]])) * (lengths > 0) > 0
+            spoken = np.add.reduceat(np.append(codes != 1, False), np.concatenate([[0], ends[:-1]]), dtype=np.int64) * (lengths > 0) > 0
         costs = np.zeros((len(self.names), len(texts)))
         for k, automaton in enumerate(self.automata):
             costs[k] = phrases(codes, ends, automaton, block) / np.maximum(lengths, 1)
@@ -357,13 +363,15 @@ def identified(docs: DataFrame, learned: dict[str, str], block: int = BLOCK, car
 
     The automata are built once and broadcast: some 40 bytes for each character of the samples.
 
-    Returns the carried columns (doc_id by default), lang_pred and score: 1 minus the phrases of the best over
+    Returns the carried columns (doc_id by default; a carried text passes through a task once), lang_pred and score: 1 minus the phrases of the best over
     those of the second best language, 0 for a tie. A null text, and one without a letter, is `und`
     with score 0; so is everything when no language was learned. Repeated rows are predicted each. An empty
     table gives no rows. No other column is read.
     """
     carry = carry or ["doc_id"]
-    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col("text").alias("body"))
+    others, whole = [c for c in carry if c != "text"], "text" in carry
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], F.col("text").alias("body"))
+    handed = [*[f"c{i}" for i in range(len(others))], *["body"] * whole]
     shared = docs.sparkSession.sparkContext.broadcast(Model(learned))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,19 +381,20 @@ def identified(docs: DataFrame, learned: dict[str, str], block: int = BLOCK, car
             while first < batch.num_rows:
                 texts, size = [], 0
                 while first + len(texts) < batch.num_rows and size < CHUNK:
-                    texts.append(batch.column(len(carry))[first + len(texts)].as_py())
+                    texts.append(batch.column(len(others))[first + len(texts)].as_py())
                     size += len(texts[-1] or "")
                 part = batch.slice(first, len(texts))
                 langs, scores = model.predict(texts, block)
                 first += len(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                    names=[*[f"c{i}" for i in range(len(carry))], "lang_pred", "score"],
+                    [*part.columns[: len(handed)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*handed, "lang_pred", "score"]
                 )
+            batch = part = texts = None  # before the next one is read
 
     kinds = dict(rows.dtypes)
-    schema = ", ".join([*[f"c{i} {kinds[f'c{i}']}" for i in range(len(carry))], "lang_pred string", "score double"])
-    return rows.mapInArrow(predict, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "lang_pred", "score")
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in handed], "lang_pred string", "score double"])
+    found = rows.mapInArrow(predict, schema)
+    return found.select(*[F.col("body" if c == "text" else f"c{others.index(c)}").alias(c) for c in carry], "lang_pred", "score")
 
 
 def held_out() -> Column:

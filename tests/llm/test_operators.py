@@ -353,6 +353,33 @@ def test_quality_scores_by_hand(spark):
     assert np.mean(unseen_good) > 0.8 and np.mean(unseen_bad) < 0.05
 
 
+def test_language_holds_little_beside_the_text():
+    """Codes take a byte a character where letters are few, and predicting takes under 14 bytes of arrays a character."""
+    import tracemalloc
+
+    samples = {"a": passage(1, 3000), "b": passage(2, 3000)[::-1]}
+    model = language.Model(samples)
+    codes, ends = model.alphabet.coded(["", "Wak, wbl", "", "..", ""])
+    assert codes.itemsize == 1 and np.diff(ends, prepend=0).tolist() == [0, 7, 0, 1, 0]
+    texts = [passage(seed, 100_000) for seed in range(3)]
+    model.predict(texts)
+    tracemalloc.start()
+    model.predict(texts)
+    assert tracemalloc.get_traced_memory()[1] < 14 * sum(map(len, texts))
+    tracemalloc.stop()
+
+
+def test_language_carries_the_text_once(spark, docs):
+    """The text crosses into Python and back in one column; columns come out as they went in, in the order asked for."""
+    learned = {"a": passage(1), "b": passage(2)[::-1]}
+    found = language.identified(docs, learned, carry=["text", "doc_id", "lang"])
+    assert found.columns == ["text", "doc_id", "lang", "lang_pred", "score"]
+    assert Counter((r.doc_id, r.text, r.lang) for r in found.collect()) == Counter((i, t, "en") for i, t in ROWS)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    asked = next(line for line in plan.splitlines() if "Project" in line and "body" in line and "c0" in line)
+    assert asked.count("text") == 1
+
+
 def test_quality_counts_all_trusted_documents(spark, tmp_path):
     """However many documents are trusted, all are counted: if all of a table are, both models are equal and every score is 0."""
     from panelcast.llm import queries
