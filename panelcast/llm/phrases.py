@@ -19,8 +19,8 @@ from panelcast.llm.common import stored
 DEPTH, LEAST, TOP, WITHIN = 3, 10, 2000, 50
 #: Bytes of text that are split at a time, unless one text alone is longer.
 CHUNK = 4 << 20
-#: Bits of a sieve of words (1 MB) or of pairs (8 MB), and occurrences from which on a word is hot.
-SIEVE, PAIR_SIEVE, HOT = 1 << 23, 1 << 26, 1_000_000
+#: Bits of a sieve of words (1 MB) or of pairs (8 MB), and occurrences of a first word for each task that its suffixes are dealt to.
+SIEVE, PAIR_SIEVE, HOT = 1 << 23, 1 << 26, 250_000
 #: Suffixes that a task of the sort gets on average, at most.
 ROOM = 1_000_000
 #: 0: part of a word, 1: between words, 2: end of a piece.
@@ -212,23 +212,31 @@ def _equal_once(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
-def _suffixes(docs: DataFrame, sieves: tuple[bytes, bytes, bytes | None], shortest: int, depth: int) -> DataFrame:
-    """The suffixes of pieces, cut to `depth` words and ahead of what is surely rare: lang, w0, w1 and so on (null where ended), weight, hot.
+def _hot_words(frequent: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes, ascending, of words of `hot` occurrences or more, and the number of tasks for each: one row for `hot` words of the input, at most."""
+    found = frequent.filter(F.col("a") >= hot).groupBy(_word_hash(0).alias("hash")).agg(F.max("a").alias("a")).collect()
+    rows = np.array(sorted((row["hash"], -(-row["a"] // hot)) for row in found), np.int64).reshape(-1, 2)
+    return rows[:, 0], rows[:, 1]
 
-    sieves: of frequent words, of hot ones, and of frequent pairs, if they are known. Only suffixes of `shortest` words or more. Equal
-    ones leave a task once, with their number. `hot` marks those whose first two words are both hot.
+
+def _suffixes(docs: DataFrame, sieves: tuple[bytes, bytes | None], hot: tuple[np.ndarray, np.ndarray], parts: int, shortest: int, depth: int) -> DataFrame:
+    """The suffixes of pieces, cut to `depth` words and ahead of what is surely rare, packed by task and language: part, lang, w0, w1 and so on, weights.
+
+    sieves: of frequent words, and of frequent pairs, if they are known. Only suffixes of `shortest` words or more. Equal ones of some
+    texts are one suffix, with their number. A row has all suffixes of some texts that one task of the sort gets of a language: in wk their words
+    at place k, space-joined, empty where a suffix has ended; in weights their numbers, four bytes each. Suffixes go by their first word; those of a
+    `hot` one by the others of the first `shortest` as well, so suffixes that share these words always meet.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(sieves)  # 10 MB, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast((*sieves, *hot))  # 9 MB and the hot words
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often, pairs = shared.value
+        often, pairs, heavy, spread = shared.value
         for batch in batches:
             for found in _split(batch):
                 if len(found.codes) < shortest:
                     continue
                 hashes = found.hashes()
-                mark = _set(often, hashes % SIEVE)
-                likely = _set(known, hashes % SIEVE)[found.codes]
+                likely = _set(often, hashes % SIEVE)[found.codes]
                 # whether word i + 1 may follow word i
                 goes = ~found.ends[:-1] & likely[:-1] & likely[1:]
                 if pairs is not None:
@@ -248,12 +256,47 @@ def _suffixes(docs: DataFrame, sieves: tuple[bytes, bytes, bytes | None], shorte
                     alive = alive[(last < len(goes)) & goes[np.minimum(last, len(goes) - 1)]]
                     keys[alive, k] = found.codes[begin[alive] + k] + 1
                 keys, weight = _equal_once(keys)
-                held = [found.words.take(pa.array(keys[:, k] - 1, mask=keys[:, k] == 0)).cast(pa.string()) for k in range(depth)]
-                marked = pa.array(mark[keys[:, 0] - 1] & mark[keys[:, 1] - 1])
-                yield pa.RecordBatch.from_arrays([found.langs.take(pa.array(keys[:, 0] - 1)), *held, pa.array(weight), marked], names=names)
-
-    names = ["lang", *[f"w{k}" for k in range(depth)], "weight", "hot"]
-    return docs.mapInArrow(cut, f"lang string, {', '.join(f'w{k} string' for k in range(depth))}, weight long, hot boolean")
+                place = hashes[keys[:, 0] - 1]
+                if len(heavy):
+                    at = np.minimum(np.searchsorted(heavy, place), len(heavy) - 1)
+                    others = sum(hashes[keys[:, k] - 1] * (2 * k + 1) for k in range(1, shortest))
+                    place = place + others % np.where(heavy[at] == place, spread[at], 1)
+                lang = found.langs.dictionary_encode()
+                cell = place % parts * len(lang.dictionary) + lang.indices.to_numpy()[keys[:, 0] - 1]
+                by = np.argsort(cell, kind="stable")
+                keys, weight, cell = keys[by], weight[by], cell[by]
+                first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+                bounds = np.append(first, len(cell)).astype(np.int32)
+                part, name = np.divmod(cell[first], len(lang.dictionary))
+                words = pa.concat_arrays([pa.array([""]), found.words.cast(pa.string())])
+                held = [pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), words.take(pa.array(keys[:, k]))), " ") for k in range(depth)]
+                numbers = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds * 4), pa.py_buffer(weight.astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), lang.dictionary.take(pa.array(name)), *held, numbers], names=names)
+
+    names = ["part", "lang", *[f"w{k}" for k in range(depth)], "weights"]
+    return docs.mapInArrow(cut, f"part int, lang string, {', '.join(f'w{k} string' for k in range(depth))}, weights binary")
+
+
+def _unpacked(held: pa.Table, depth: int) -> tuple[pa.Array, np.ndarray, list[pa.Array], np.ndarray, np.ndarray]:
+    """Packed suffixes one by one: languages, the number of each one's language, words of each place, suffixes x depth of their numbers, weights.
+
+    Word i of a place has number i + 1; 0: the suffix has ended.
+    """
+    packed = held.column("weights").to_pylist()
+    lang = held.column("lang").dictionary_encode().combine_chunks()
+    own = np.repeat(lang.indices.to_numpy().astype(np.int64), [len(x) // 4 for x in packed])
+    weights = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
+    keys, known = np.zeros((len(weights), depth), np.int64), []
+    for k in range(depth):
+        lists = pc.split_pattern(held.column(f"w{k}"), " ").combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        keys[:, k] = coded.indices.to_numpy()
+        keys[:, k] += 1
+        ended = pc.index(coded.dictionary, "").as_py()
+        if ended >= 0:
+            keys[keys[:, k] == ended + 1, k] = 0
+        known.append(coded.dictionary)
+    return lang.dictionary, own, known, keys, weights
 
 
 def _maybe_frequent(keys: np.ndarray, weights: np.ndarray, least: int) -> np.ndarray:
@@ -268,41 +311,34 @@ def _maybe_frequent(keys: np.ndarray, weights: np.ndarray, least: int) -> np.nda
 
 
 def _sorted_counts(routed: DataFrame, shortest: int, depth: int, least: int) -> DataFrame:
-    """The phrases of `shortest` words and more of each task's suffixes with their counts, by quicksort: lang, words, a.
+    """The phrases of `shortest` words and more that occur `least` times, of each task's suffixes, by quicksort: lang, words, a.
 
-    All suffixes with the same first two words are in one task, so a partition that weighs too little is abandoned
-    there; those whose first `shortest` words surely weigh too little are not even sorted. Suffixes that begin with two hot words are dealt by the third word as well: of their first two words the task
-    sees a part, which is kept whatever its weight.
+    All suffixes with the same first `shortest` words are in one task, so a partition that weighs too little is abandoned
+    there; those whose first `shortest` words surely weigh too little are not even sorted.
     """
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
         if not sum(batch.num_rows for batch in got):
             return
-        held = pa.Table.from_batches(got)
-        coded = [held.column(f"w{k}").dictionary_encode().combine_chunks() for k in range(depth)]
-        lang = held.column("lang").dictionary_encode().combine_chunks()
-        keys = np.stack([c.indices.fill_null(-1).to_numpy().astype(np.int64) + 1 for c in coded], 1)
-        base = len(coded[0].dictionary) + 1
-        keys[:, 0] += lang.indices.to_numpy().astype(np.int64) * base
-        weights, hot = held.column("weight").to_numpy(), held.column("hot").to_numpy()
-        kept = np.flatnonzero(hot | _maybe_frequent(keys[:, :shortest], weights, least))
-        keys, weights, hot, own = keys[kept], weights[kept], hot[kept], lang.indices.to_numpy()[kept]
+        langs, own, known, keys, weights = _unpacked(pa.Table.from_batches(got), depth)
+        del got
+        base = len(known[0]) + 1
+        keys[:, 0] += own * base
+        kept = np.flatnonzero(_maybe_frequent(keys[:, :shortest], weights, least))
+        keys, weights, own = keys[kept], weights[kept], own[kept]
         # the words of all places, one after the other
-        known = pa.concat_arrays([c.dictionary for c in coded])
-        ahead = np.cumsum([0, *[len(c.dictionary) for c in coded[:-1]]])
-        del held, got
-        for d, suffix, weight in multikey_quicksort(keys, weights, np.where(hot, 1, least)):
+        ahead = np.cumsum([0, *[len(words) for words in known[:-1]]])
+        words = pa.concat_arrays(known)
+        for d, suffix, weight in multikey_quicksort(keys, weights, least):
             if d < shortest:
                 continue
-            keep = (weight >= least) | (hot[suffix] & (d == 2))
-            suffix, weight = suffix[keep], weight[keep]
             these = keys[suffix, :d] - 1
             these[:, 0] %= base
             yield pa.RecordBatch.from_arrays(
                 [
-                    lang.dictionary.take(pa.array(own[suffix])),
-                    pa.ListArray.from_arrays(pa.array((np.arange(len(suffix) + 1) * d).astype(np.int32)), known.take(pa.array((these + ahead[:d]).ravel()))),
+                    langs.take(pa.array(own[suffix])),
+                    pa.ListArray.from_arrays(pa.array((np.arange(len(suffix) + 1) * d).astype(np.int32)), words.take(pa.array((these + ahead[:d]).ravel()))),
                     pa.array(weight),
                 ],
                 names=["lang", "words", "a"],
@@ -319,13 +355,11 @@ def phrase_counts(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, hot:
     frequent = single.filter(F.col("a") >= least)
     size = frequent.agg(F.sum("a")).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // room))
-    word_sieves = _sieve(_word_hash(0), SIEVE, frequent), _sieve(_word_hash(0), SIEVE, frequent.filter(F.col("a") >= hot))
+    often, heavy = _sieve(_word_hash(0), SIEVE, frequent), _hot_words(frequent, hot)
 
     def counted(pairs: bytes | None, shortest: int, longest: int) -> DataFrame:
-        suffixes = _suffixes(docs, (*word_sieves, pairs), shortest, longest)
-        routed = suffixes.repartition(parts, "lang", "w0", "w1", *[F.when(F.col("hot"), F.col("w2")) for _ in range(longest > 2)])
-        summed = _sorted_counts(routed, shortest, longest, least).groupBy("lang", "words").agg(F.sum("a").alias("a"))
-        return stored(summed.filter(F.col("a") >= least), "phrases")
+        routed = _suffixes(docs, (often, pairs), heavy, parts, shortest, longest).repartitionById(parts, F.col("part"))
+        return stored(_sorted_counts(routed, shortest, longest, least), "phrases")
 
     pairs = counted(None, 2, 2)
     found = frequent.unionByName(pairs)
@@ -344,8 +378,9 @@ def collocations(
 
     1. Words are counted. Those under `least` end a suffix, as no phrase with one is frequent; a sieve of 1 MB tells them
        (some rare words pass, at the cost of a longer suffix only).
-    2. Every suffix of a piece is routed by its first two words to a task, equal ones of a task once with
-       their number. Those that begin with two words of `hot` occurrences each are also dealt by the third.
+    2. Every suffix of a piece is routed by its first word to a task, equal ones of some texts once with
+       their number. Those that begin with a word of `hot` occurrences or more are dealt by the next words to several tasks. What some texts send
+       to a task travels as one row a language, so a word costs its letters and no row of its own.
     3. Each task sorts its suffix pointers by multikey three-way quicksort. The weights
        of the equal partitions are the counts; partitions under `least` are abandoned. Tasks grow in number with the input.
     4. Steps 2 and 3 run for pairs, then, to the full depth, for the suffixes that a sieve of the frequent pairs leaves three words.

@@ -281,6 +281,38 @@ def test_tasks_sort_only_what_may_be_frequent():
     assert kept.sum() < 1000
 
 
+def test_suffixes_travel_packed(spark, monkeypatch):
+    """What a task sends to another is a row a language, and suffixes that share their first words meet in one task."""
+    rng = np.random.default_rng(8)
+    texts = [(lang, " ".join(f"w{int(x)}" for x in np.minimum(rng.zipf(1.3, 4000), 500))) for lang in ["en", "de", None] for _ in range(4)]
+    docs = spark.createDataFrame(texts, "lang string, text string").repartition(2)
+    seen, sort = [], phrases._sorted_counts
+    monkeypatch.setattr(phrases, "_sorted_counts", lambda routed, *rest: seen.append(routed) or sort(routed, *rest))
+    phrases.phrase_counts(docs, least=3, hot=400, room=2000)
+    counts = defaultdict(Counter)
+    for lang, text in texts:
+        words = text.split()
+        for n in (1, 2, 3):
+            counts[n].update((lang or "und", *words[i : i + n]) for i in range(len(words) - n + 1))
+    for routed, shortest in zip(seen, (2, 3), strict=True):
+        tasks = routed.rdd.getNumPartitions()
+        assert tasks > 8
+        rows = routed.withColumn("task", F.spark_partition_id()).collect()
+        assert len(rows) <= 2 * 3 * tasks
+        found, met, spread = Counter(), defaultdict(set), defaultdict(set)
+        for row in rows:
+            places = [row[f"w{k}"].split(" ") for k in range(shortest)]
+            for weight, *words in zip(np.frombuffer(row["weights"], "<u4").tolist(), *places, strict=True):
+                found[(row["lang"], *words)] += weight
+                met[(row["lang"], *words)].add(row["task"])
+                spread[(row["lang"], words[0])].add(row["task"])
+        assert all(found[p] == a for p, a in counts[shortest].items() if a >= 3)
+        assert all(a <= counts[shortest][p] for p, a in found.items())
+        assert {len(at) for at in met.values()} == {1}
+        assert all(len(at) <= -(-counts[1][w] // 400) for w, at in spread.items())
+        assert max(len(at) for at in spread.values()) > 4
+
+
 def test_quicksort_partitions():
     rng = np.random.default_rng(2)
     keys = rng.integers(0, 5, (500, 3))
