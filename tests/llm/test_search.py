@@ -99,6 +99,66 @@ def test_near_vectors_against_all_pairs(spark, monkeypatch, small, block):
     assert Counter(tuple(r) for r in found.collect()) == brute_links(rows)
 
 
+def chain(rng, n, d, cosine):
+    x = unit(rng, n, d)
+    for i in range(1, n):
+        side = x[i] - (x[i] @ x[i - 1]) * x[i - 1]
+        x[i] = cosine * x[i - 1] + np.sqrt(1 - cosine * cosine) * side / np.linalg.norm(side)
+    return x
+
+
+@pytest.mark.parametrize("width", [1, 2, 5, 33, 64])
+def test_grains_rule_out_no_linked_pair_and_most_others(width):
+    rng = np.random.default_rng(3)
+    a, b = pairs_at(rng, 3000, width, 0.9) if width > 1 else (unit(rng, 3000, 1),) * 2
+    c = unit(rng, 500, width) ** 5
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    sifter = vectors._Grains(vectors.grains(np.concatenate([a, b, c, c])), 0.9 - 1e-9)
+    x = np.concatenate([np.arange(3000), 6000 + np.arange(500)])
+    y = np.concatenate([3000 + np.arange(3000), 6500 + np.arange(500)])
+    assert sifter.listed(x, y).all()
+    assert (np.einsum("ij,ij->i", sifter.near[x], sifter.far[y]) >= sifter.least).all()
+    found = vectors._many(sifter, 7000)
+    assert found.near[x].all() and found.near[y].all() and (found.label[x] == found.label[y]).all()
+    if width == 64:
+        # sketches of 256 bits let pairs from a cosine of 0.6 on pass, of which a large table is full
+        u, v = pairs_at(rng, 3000, width, 0.62)
+        assert vectors._Grains(vectors.grains(np.concatenate([u, v])), 0.9).listed(np.arange(3000), 3000 + np.arange(3000)).mean() < 0.01
+
+
+@pytest.mark.parametrize("small, block, width", [(1 << 15, 512, 32), (8, 6, 32), (8, 6, 100)])
+def test_near_vectors_of_chains_and_groups(spark, monkeypatch, small, block, width):
+    monkeypatch.setattr(vectors, "SMALL", small)
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    hot = unit(rng, 1, width) + 0.03 * rng.normal(size=(40, width)) / np.sqrt(width / 32)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([chain(rng, 300, width, 0.93), hot, unit(rng, 60, width), hot[:5]]))]
+    rows += [(None, rows[3][1]), (2, rows[310][1])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    assert Counter(tuple(r) for r in vectors.near_vectors(table).collect()) == brute_links(rows)
+    assert spark.conf.get(name) == before
+
+
+def test_vectors_of_a_group_are_fetched_once(spark):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([unit(rng, 1, 64) + 0.01 * rng.normal(size=(50, 64)), chain(rng, 300, 64, 0.93)])
+    nodes = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "node long, vector array<double>")
+    near, edges = vectors._plausible(vectors._dealt(nodes, 8, 2, 4), 0.9, 2)
+    work = vectors._work(near, vectors.components(edges)).collect()
+    assert Counter(r["node"] for r in work if r["node"] < 50) == Counter(range(50))
+    # a chain is compared bucket by bucket
+    assert {r["dim"] for r in work if r["node"] >= 50} == {64}
+
+
+def test_a_slice_of_a_column_reads_its_own_values():
+    column = pa.array([[1.0, 2.0], None, [3.0, None], [4.0, 5.0], [], [0.0, 0.0], [6.0, 7.0]], pa.list_(pa.float32()))
+    for part in (column, column[2:], column[3:5], column[4:4], column[5:]):
+        plain = [(i, v) for i, v in enumerate(part.to_pylist()) if v and None not in v and any(v)]
+        assert [(i, v) for places, rows in vectors._by_width(part) for i, v in zip(places.tolist(), rows.tolist(), strict=True)] == plain
+
+
 def test_near_vectors_of_nothing(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vectors.near_vectors(table).collect() == []
